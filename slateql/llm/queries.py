@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, packing, quality, urlfilter
+from slateql.llm import chat, neardup, packing, quality, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -169,3 +169,25 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
 r AS (SELECT *, CASE {" ".join(f"WHEN {_fits_sql(r)} THEN '{r.name}'" for r in _LONGEST_FIRST)} END AS rule FROM p)
 SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in URL_RULES)} ELSE 'allow' END AS verdict FROM r
 """
+
+
+# --- 10: MinHash near-dedup
+
+
+@_query
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+
+
+ORACLE_SQL["op10_neardup"] = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY ALL) x
+      JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n.n
+"""
