@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, neardup, packing, quality, urlfilter
+from slateql.llm import chat, fingerprint, neardup, packing, quality, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -171,6 +171,14 @@ SELECT page_id, host, path, rule, CASE {" ".join(f"WHEN rule = '{r.name}' THEN '
 """
 
 
+# --- 7: document fingerprints
+
+
+@_query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 # --- 10: MinHash near-dedup
 
 
