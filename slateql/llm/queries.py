@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, fingerprint, neardup, packing, quality, urlfilter
+from slateql.llm import chat, fingerprint, neardup, packing, quality, toxicity, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -179,6 +179,19 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+# --- 8: toxicity
+
+TOXIC_FROM = 0.7
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 # --- 10: MinHash near-dedup
 
 
