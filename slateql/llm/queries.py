@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, fingerprint, neardup, packing, quality, toxicity, urlfilter
+from slateql.llm import chat, fingerprint, linededup, neardup, packing, quality, toxicity, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -142,6 +142,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+# --- 5: line dedup
+
+
+@_query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the lines cut from it, and what is left of its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cut = linededup.cut_lines(docs, linededup.line_cuts(docs))
+    return cut.select("doc_id", F.col("__n_cut_lines").cast("bigint").alias("n_cut_lines"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 # --- 6: URL filters
 
 URL_RULES = [
