@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, fingerprint, linededup, neardup, packing, quality, toxicity, urlfilter
+from slateql.llm import chat, fingerprint, linededup, mixing, neardup, packing, pii, quality, toxicity, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -132,6 +132,21 @@ FROM s
 """
 
 
+# --- 3: mixing sources to target weights
+
+#: Production weights: sources that are not listed share ``other``.
+SOURCE_WEIGHTS = {f"src{k}": (1, 2, 3, 4)[k % 4] for k in range(20)}
+OTHER_WEIGHT = 1
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the mixture."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    mixed = mixing.mix(docs, SOURCE_WEIGHTS, OTHER_WEIGHT)
+    return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__within").alias("within"), F.col("__slot").alias("slot"), F.col("__release").alias("release"), F.col("__deadline").alias("deadline"))
+
+
 # --- 4: packing
 
 
@@ -203,6 +218,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+# --- 9: PII
+
+PII_KEY = "corpus-2025"
+
+
+@_query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many values of each kind got pseudonyms, and the new text's digest."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    done = pii.pseudonymize(docs, PII_KEY)
+    counts = [F.coalesce(F.size(F.filter("__found", lambda x, k=k: x["kind"] == k)), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return done.select("doc_id", *counts, F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 # --- 10: MinHash near-dedup
 
 
