@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of our own, local, only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        found = "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialised in the cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    """Materialised in the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,7 +49,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return current.select(F.col("a").alias("id"), F.col("b").alias("component")).union(current.select(F.col("b"), F.col("b")).distinct())
-
-
-def empty_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a bigint, b bigint")

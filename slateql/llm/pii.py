@@ -143,7 +143,11 @@ def pseudonym(m: Column, key: str) -> Column:
         "ip": F.when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), _ip(m, key)),
         "date": F.when(m.rlike(r"^\d+[-./]\d\d[-./]\d+$"), _date(m, key)),
     }
-    return F.coalesce(*[let(v, lambda x, k=k: F.when(x.isNotNull(), F.struct(F.lit(k).alias("kind"), x.alias("new")))) for k, v in new.items()])
+
+    def named(kind: str, value: Column) -> Column:
+        return let(value, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))))
+
+    return F.coalesce(*[named(k, v) for k, v in new.items()])
 
 
 def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import public_tokenizers
+import corpus_pipeline
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateql.llm import chat, fingerprint, linededup, mixing, neardup, packing, pii, quality, toxicity, urlfilter
+from slateql.llm import chat, fingerprint, linededup, mixing, neardup, packing, pii, quality, settings, toxicity, urlfilter
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -134,16 +134,11 @@ FROM s
 
 # --- 3: mixing sources to target weights
 
-#: Production weights: sources that are not listed share ``other``.
-SOURCE_WEIGHTS = {f"src{k}": (1, 2, 3, 4)[k % 4] for k in range(20)}
-OTHER_WEIGHT = 1
-
-
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
-    mixed = mixing.mix(docs, SOURCE_WEIGHTS, OTHER_WEIGHT)
+    mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT)
     return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__within").alias("within"), F.col("__slot").alias("slot"), F.col("__release").alias("release"), F.col("__deadline").alias("deadline"))
 
 
@@ -153,7 +148,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack_documents(docs, settings.TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
@@ -207,29 +202,27 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 8: toxicity
 
-TOXIC_FROM = 0.7
-
-
 @_query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
     scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= settings.TOXIC_FROM).cast("int").alias("predicted"))
 
 
 # --- 9: PII
 
-PII_KEY = "corpus-2025"
-
-
 @_query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many values of each kind got pseudonyms, and the new text's digest."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pii.pseudonymize(docs, PII_KEY)
-    counts = [F.coalesce(F.size(F.filter("__found", lambda x, k=k: x["kind"] == k)), F.lit(0)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
-    return done.select("doc_id", *counts, F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    done = pii.pseudonymize(docs, settings.PII_KEY)
+    kinds = F.coalesce(F.col("__found.kind"), F.array().cast("array<string>"))
+
+    def count(kind: str):
+        return F.size(F.filter(kinds, lambda x: x == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return done.select("doc_id", *map(count, pii.KINDS), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 # --- 10: MinHash near-dedup
@@ -252,3 +245,6 @@ r AS (SELECT doc_id AS id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.id = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

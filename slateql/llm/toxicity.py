@@ -30,6 +30,7 @@ the toxic share of the labels (0 without labels).
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -332,29 +333,27 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 800, max_clean: i
     return fit([t for t, _ in sample], [y for _, y in sample], landmarks, share)
 
 
-def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The ``keep`` columns and ``score`` of every row's whole text."""
-    spark = df.sparkSession
-    parts = (model.table, model.bias, model.cuts, model.scale, model.logistic)
-    shared = spark.sparkContext.broadcast(parts)
-    fields = [df.schema[c] for c in keep]
-    ddl = ", ".join([f"`__k{i}` {f.dataType.simpleString()}" for i, f in enumerate(fields)] + ["score double"])
+def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text", name: str = "score") -> DataFrame:
+    """The ``keep`` columns and the score, as ``name``, of every row's whole text."""
+    shared = df.sparkSession.sparkContext.broadcast((model.table, model.bias, model.cuts, model.scale, model.logistic))
+    read = [*keep, *([] if text in keep else [text])]
+    at, n = read.index(text), len(keep)
+    ddl = ", ".join([f"`__k{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + ["score double"])
+    seen = f"word values {uuid.uuid4()}"
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        words = per_process(("word values", shared._jbroadcast.id() if shared._jbroadcast else id(shared)), lambda: WordValues(own)) if own.table is not None else None
+        words = per_process(seen, lambda: WordValues(own)) if own.table is not None else None
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
             found = []
-            for i in range(0, len(texts), 64):
-                part = [t or "" for t in texts[i : i + 64].to_pylist()]
+            for i in range(0, batch.num_rows, 64):
+                part = [t or "" for t in batch.column(at)[i : i + 64].to_pylist()]
                 found += [statistics(v, own.bias, own.cuts) for v in words.of(part)] if words else [[]] * len(part)
             scored = pa.array(own.score(np.array(found).reshape(len(found), -1)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scored], names=[*[f"__k{i}" for i in range(len(fields))], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], scored], names=[*[f"__k{i}" for i in range(n)], "score"])
 
-    taken = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
-    out = taken.mapInArrow(emit, ddl)
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "score")
+    out = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(read)]).mapInArrow(emit, ddl)
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
 
 
 def held_out(doc_id: str = "doc_id"):
