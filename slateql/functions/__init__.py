@@ -1,0 +1 @@
+"""Predicates and literal typing, compiled to column expressions."""

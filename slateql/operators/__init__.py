@@ -1,0 +1 @@
+"""Statements and key-value operations as Spark plans."""

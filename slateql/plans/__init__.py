@@ -1,0 +1 @@
+"""From SQL text to statements: tokens, syntax tree, parser."""

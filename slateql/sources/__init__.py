@@ -1,0 +1 @@
+"""Where tables live: Parquet snapshots named by manifests, and read-only Parquet files."""

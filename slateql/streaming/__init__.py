@@ -1,0 +1 @@
+"""Streaming. The dialect has no unbounded sources, so this package is empty by intent."""
