@@ -128,11 +128,11 @@ _bool("bool_vs_number", "> 1", "true")
 _bool("bool_vs_word", "= maybe", "false")
 
 
-@_query("SELECT * FROM (SELECT o_orderkey::DECIMAL(20,0) AS key, o_custkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 200)")
+@_query("SELECT * FROM (SELECT o_orderkey AS key, o_custkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN 100 AND 200)")
 def kv_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S2."""
     rows = _order_fields(spark, sf_dir).range_scan(100, 200)
-    return rows.select("key", F.col("fields")[0]["number"].alias("o_custkey"), F.col("fields")[1]["text"].alias("o_orderstatus"))
+    return rows.select(F.col("key").cast("bigint").alias("key"), F.col("fields")[0]["number"].alias("o_custkey"), F.col("fields")[1]["text"].alias("o_orderstatus"))
 
 
 @_query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 5")
@@ -142,14 +142,14 @@ def kv_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(found[0][1], found[1][1])] if found else [], "o_custkey long, o_orderstatus string")
 
 
-@_query("SELECT o_orderkey::DECIMAL(20,0) AS key, CASE WHEN o_orderkey = 7 THEN -7 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey BETWEEN 1 AND 50 AND o_orderkey <> 9")
+@_query("SELECT o_orderkey AS key, CASE WHEN o_orderkey = 7 THEN -7 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey BETWEEN 1 AND 50 AND o_orderkey <> 9")
 def kv_put_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert, a delete and a delete of a missing key."""
     table = _order_fields(spark, sf_dir)
     if table.search(7) is not None:
         table.put([(7, [(1, -7)])])
     table.delete(9, (1 << 64) - 1)
-    return table.range_scan(1, 50).select("key", F.col("fields")[0]["number"].alias("o_custkey"))
+    return table.range_scan(1, 50).select(F.col("key").cast("bigint").alias("key"), F.col("fields")[0]["number"].alias("o_custkey"))
 
 
 def _order_fields(spark: SparkSession, sf_dir: str) -> KeyValueTable:

@@ -1,0 +1,240 @@
+import threading
+
+import pytest
+
+from slateql.engine import Engine
+from slateql.errors import ConflictError, ExecutionError
+from slateql.sources.snapshots import Store
+
+
+@pytest.fixture
+def root(tmp_path):
+    return str(tmp_path / "db")
+
+
+@pytest.fixture
+def db(spark, root):
+    return Engine(spark, root)
+
+
+def rows(engine, sql):
+    return [tuple(r) for r in engine.sql(sql).collect()]
+
+
+def users(db):
+    for sql in ("CREATE TABLE users (id INT, name TEXT, age INT)", "INSERT INTO users VALUES (2, 'bob', 25)", "INSERT INTO users VALUES (1, 'alice', 30)"):
+        assert db.sql(sql) is None
+    return db
+
+
+def test_rows_come_in_key_order_under_declared_names(db):
+    users(db)
+    found = db.sql("SELECT AGE, Id, AGE FROM users")
+    assert found.columns == ["age", "id", "age"]
+    assert [tuple(r) for r in found.collect()] == [(30, 1, 30), (25, 2, 25)]
+    assert rows(db, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
+
+
+def test_complex_where(db):
+    users(db)
+    db.sql("INSERT INTO users VALUES (3, 'carol', 30)")
+    db.sql("INSERT INTO users VALUES (4, 'dave', 20)")
+    assert rows(db, "SELECT name FROM users WHERE age = 30 AND name = 'alice' OR age = 20") == [("alice",), ("dave",)]
+
+
+def test_types_and_limits(db):
+    db.sql("CREATE TABLE items (id INT, label TEXT, count INT, active BOOL)")
+    db.sql("INSERT INTO items VALUES (0, '', 9223372036854775807, true)")
+    db.sql("INSERT INTO items VALUES (4294967295, 'é', 0, FALSE)")
+    assert rows(db, "SELECT * FROM items") == [(0, "", 9223372036854775807, True), (4294967295, "é", 0, False)]
+    assert rows(db, "SELECT id FROM items WHERE active = 'true'") == [(0,)]
+
+
+@pytest.mark.parametrize(
+    "sql,message",
+    [
+        ("SELECT * FROM ghost", 'table "ghost" not found'),
+        ("SELECT ghost FROM users", 'column "ghost" not found in table "users"'),
+        ("INSERT INTO ghost VALUES (1)", 'table "ghost" not found'),
+        ("INSERT INTO users VALUES (1, 'x')", r"mismatched value count \(2 vs 3\)"),
+        ("INSERT INTO users VALUES (4294967296, 'x', 1)", "unable to convert literal to primary key"),
+        ("INSERT INTO users VALUES ('x', 'x', 1)", "unable to convert literal to primary key"),
+        ("INSERT INTO users VALUES (1, 'x', 1)", 'duplicate key: primary key 1 already exists in table "users"'),
+        ("INSERT INTO users VALUES ('9', 'x', 1)", "primary key: Literal type mismatch"),
+        ("INSERT INTO users VALUES (9, 5, 1)", 'column "name": Literal type mismatch'),
+        ("INSERT INTO users VALUES (9, 'x', 99999999999999999999)", 'column "age": failed to parse INT literal'),
+        ("UPDATE ghost SET a = 1", 'table "ghost" not found'),
+        ("UPDATE users SET id = 5", 'unable to find column "id" in schema'),
+        ("UPDATE users SET ghost = 5", 'unable to find column "ghost" in schema'),
+        ("UPDATE users SET age = 'x' WHERE id = 77", "datatype do not match"),
+        ("UPDATE users SET age = 99999999999999999999", "failed to parse INT literal"),
+        ("DELETE FROM ghost", 'table "ghost" not found'),
+        ("CREATE TABLE users (id INT)", 'table "users" already exists'),
+        ("DROP TABLE ghost", 'table "ghost" does not exist'),
+    ],
+)
+def test_errors_leave_the_state(db, sql, message):
+    users(db)
+    with pytest.raises(ExecutionError, match=message):
+        db.sql(sql)
+    assert rows(db, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
+
+
+def test_update_out_of_range_without_a_match_is_no_error(db):
+    users(db)
+    db.sql("UPDATE users SET age = 99999999999999999999 WHERE id = 77")
+
+
+def test_non_integer_key_tables_stay_empty(db):
+    db.sql("CREATE TABLE products (sku TEXT, n INT)")
+    with pytest.raises(ExecutionError, match='primary key "sku" has unsupported type "TEXT": only INT is supported'):
+        db.sql("INSERT INTO products VALUES ('a', 1)")
+    assert rows(db, "SELECT * FROM products") == []
+
+
+def test_update_and_delete(db):
+    users(db)
+    db.sql("UPDATE users SET name = 'x' WHERE age > 26")
+    assert rows(db, "SELECT * FROM users") == [(1, "x", 30), (2, "bob", 25)]
+    db.sql("UPDATE users SET age = 7")
+    db.sql("DELETE FROM users WHERE name = bob")
+    assert rows(db, "SELECT * FROM users") == [(1, "x", 7)]
+    db.sql("DELETE FROM users WHERE ghost = 1")
+    assert len(rows(db, "SELECT * FROM users")) == 1
+    db.sql("DELETE FROM users")
+    assert rows(db, "SELECT * FROM users") == []
+    db.sql("INSERT INTO users VALUES (1, 'again', 1)")
+
+
+def test_delete_rewrites_only_files_with_a_match(db):
+    users(db)
+    before = db.manifest.tables["users"].files
+    db.sql("DELETE FROM users WHERE id = 1")
+    after = db.manifest.tables["users"].files
+    assert len(before) == 2 and len(set(before) & set(after)) == 1
+
+
+def test_reopen(spark, root, db):
+    users(db)
+    again = Engine(spark, root)
+    assert rows(again, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
+    again.sql("DROP TABLE users")
+    again.sql("CREATE TABLE users (id INT, ok BOOL)")
+    assert rows(Engine(spark, root), "SELECT * FROM users") == []
+    assert Engine(spark, root).next_table_id() == 3
+
+
+def test_malformed_catalog(spark, root, db):
+    users(db)
+    path = f"{root}/catalog/manifest-000000099.json"
+    with open(path, "w") as f:
+        f.write('{"version": 99, "next_id": 2, "tables": {"users": {"id": 1, "files": []}}}')
+    with pytest.raises(ExecutionError, match="malformed catalog entry"):
+        Engine(spark, root)
+
+
+def test_transaction_sees_its_writes_and_rolls_back(db):
+    db.sql("CREATE TABLE t (id INT, v INT)")
+    db.sql("INSERT INTO t VALUES (1, 10)")
+    db.sql("INSERT INTO t VALUES (2, 20)")
+    txn = db.begin()
+    for sql in ("DELETE FROM t WHERE id = 1", "UPDATE t SET v = 99 WHERE id = 2", "INSERT INTO t VALUES (3, 30)"):
+        txn.sql(sql)
+    assert [tuple(r) for r in txn.sql("SELECT * FROM t").collect()] == [(2, 99), (3, 30)]
+    assert rows(db, "SELECT * FROM t") == [(1, 10), (2, 20)]
+    db.rollback(txn.id)
+    db.rollback(txn.id)
+    assert rows(db, "SELECT * FROM t") == [(1, 10), (2, 20)]
+
+
+def test_commit_publishes_all_tables_at_once(spark, root, db):
+    db.sql("CREATE TABLE a (id INT)")
+    db.sql("CREATE TABLE b (id INT)")
+    version, txn = db.manifest.version, db.begin()
+    txn.sql("INSERT INTO a VALUES (1)")
+    txn.sql("INSERT INTO b VALUES (2)")
+    txn.sql("INSERT INTO b VALUES (3)")
+    db.commit(txn.id)
+    db.commit(txn.id)
+    assert db.manifest.version == version + 1
+    assert len(db.manifest.tables["b"].files) == 1
+    assert rows(Engine(spark, root), "SELECT * FROM b") == [(2,), (3,)]
+
+
+def test_ddl_survives_rollback(db):
+    txn = db.begin()
+    txn.sql("CREATE TABLE t (id INT)")
+    txn.sql("INSERT INTO t VALUES (1)")
+    db.rollback(txn.id)
+    assert rows(db, "SELECT * FROM t") == []
+
+
+def test_crash_between_write_and_publish(spark, root, db):
+    users(db)
+    txn = db.begin()
+    txn.sql("UPDATE users SET age = 1")
+    again = Engine(spark, root)  # the first process is gone; its files are not named
+    assert rows(again, "SELECT age FROM users") == [(30,), (25,)]
+    assert again.vacuum() > 0
+    assert rows(again, "SELECT age FROM users") == [(30,), (25,)]
+
+
+def test_two_processes_conflict(spark, root, db):
+    db.sql("CREATE TABLE t (id INT)")
+    other = Engine(spark, root)
+    other.sql("INSERT INTO t VALUES (1)")
+    with pytest.raises(ConflictError):
+        db.sql("INSERT INTO t VALUES (2)")
+    assert rows(Engine(spark, root), "SELECT * FROM t") == [(1,)]
+
+
+def test_lazy_results_outlive_later_writes(db):
+    users(db)
+    before = db.sql("SELECT * FROM users")
+    db.sql("DELETE FROM users")
+    assert before.count() == 2
+
+
+def test_concurrent_inserts(db):
+    db.sql("CREATE TABLE t (id INT)")
+    failed = []
+
+    def work(k):
+        try:
+            for i in range(3):
+                db.sql(f"INSERT INTO t VALUES ({10 * k + i})")
+                db.sql("SELECT * FROM t").count()
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed
+    assert rows(db, "SELECT * FROM t") == sorted((10 * k + i,) for k in range(4) for i in range(3))
+
+
+def test_bulk_load_and_compaction(spark, db):
+    df = spark.range(500).selectExpr("id", "id * id AS square")
+    db.create_from("nums", df, "id")
+    assert rows(db, "SELECT square FROM nums WHERE id = 100") == [(10000,)]
+    with pytest.raises(ExecutionError, match="duplicate key"):
+        db.load("nums", df.limit(1))
+    with pytest.raises(ExecutionError, match="must be integers"):
+        db.load("nums", spark.sql("SELECT -1L AS id, 0L AS square"))
+    for k in range(3):
+        db.sql(f"INSERT INTO nums VALUES ({1000 + k}, 0)")
+    db.compact("nums")
+    assert len(rows(db, "SELECT id FROM nums")) == 503
+
+
+def test_external_tables_are_read_only(db):
+    db.register("region", "/root/testdata/sf0.001/region.parquet", "r_regionkey")
+    assert rows(db, "SELECT R_NAME FROM region WHERE r_regionkey < 2")[0][0]
+    for sql in ("DELETE FROM region", "UPDATE region SET r_name = 'x'", "INSERT INTO region VALUES (1, 'x')"):
+        with pytest.raises(ExecutionError, match="read-only"):
+            db.sql(sql)
+
+
+def test_store_qualifies_its_root(spark, tmp_path):
+    assert Store(spark, str(tmp_path)).root.startswith("file:")
