@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateql.llm.process import per_process
+
 PIECES = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -61,37 +63,56 @@ class PackingPlan:
             raise ValueError("tiers are distinct powers of two, longest first")
 
 
-class WordIds(dict):
+class WordIds:
     """word -> its ids as little-endian uint32 bytes, for a tokenizer that never merges across white space.
 
-    Forgets everything when ``limit`` words are held, which bounds its memory.
+    Holds two generations of ``limit`` words each: a full one becomes the old
+    one, from which words in use come back. This bounds its memory.
     """
 
-    SEPARATORS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+    SEPARATORS = "\n\t\r\x0b\x0c"
     LONGEST_KEPT = 64
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-
-    def __missing__(self, word: str) -> bytes:
-        head, last = word[:-1], word[-1]
-        if last in ".," and head.isascii() and head.isalpha():
-            ids = self[head] + self[last]  # letters and marks are cut apart before merging
-        else:
-            lower = word.lower() if word.isascii() and word.isalpha() else word
-            ids = self[lower] if lower != word else np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= self.LONGEST_KEPT:
-            self[word] = ids
-        return ids
+        self.ids, self.old = {"": b""}, {}
+        self.model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        #: How the tokenizer spells the letters up to U+00FF before it merges.
+        self.spelling = str.maketrans({c: cut.pre_tokenize_str(c)[0][0] for c in letters if c == c.lower()})
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.marks = {m: self._whole(m) for m in ".,"}
+
+    def _whole(self, word: str) -> bytes:
+        return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
+
+    def _encoded(self, word: str) -> bytes:
+        """Letters up to U+00FF need no normalising but folding, and are one piece; a mark behind them is another."""
+        mark = self.marks.get(word[-1], b"")
+        bare = word[:-1] if mark else word
+        if bare.isalpha() and max(bare) <= "\xff":
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(bare.lower().translate(self.spelling))]) + mark
+        return self._whole(word)
 
     def encode(self, text: str) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-            self[""] = b""
-        return b"".join(map(self.__getitem__, text.translate(self.SEPARATORS).split(" ")))
+        for c in self.SEPARATORS:
+            text = text.replace(c, " ")
+        words = text.split(" ")
+        found = list(map(self.ids.get, words))
+        if None not in found:
+            return b"".join(found)
+        fresh = {}
+        for k, ids in enumerate(found):
+            if ids is None:
+                w = words[k]
+                found[k] = fresh.get(w) or fresh.setdefault(w, self.old.get(w) or self._encoded(w))
+        self.ids.update((w, x) for w, x in fresh.items() if len(w) <= self.LONGEST_KEPT)
+        if len(self.ids) > self.limit:
+            self.old, self.ids = self.ids, {"": b""}
+        return b"".join(found)
 
 
 class _Packer:
@@ -189,8 +210,8 @@ def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = Non
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, packer = WordIds(tokenizer), _Packer(plan, TaskContext.get().partitionId())
+        words = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        packer = _Packer(plan, TaskContext.get().partitionId())
         rows, size = [], 0
 
         def flush():
