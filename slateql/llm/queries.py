@@ -157,10 +157,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the lines cut from it, and what is left of its text."""
+    """Every document's text without the blocks that an earlier document holds, and how many lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = linededup.cut_lines(docs, linededup.line_cuts(docs))
-    return cut.select("doc_id", F.col("__n_cut_lines").cast("bigint").alias("n_cut_lines"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return cut.select("doc_id", "text", F.col("__n_cut_lines").cast("bigint").alias("n_cut_lines"))
 
 
 # --- 6: URL filters
@@ -214,7 +214,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many values of each kind got pseudonyms, and the new text's digest."""
+    """Every document's text with pseudonyms, and how many values of each kind got one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = pii.pseudonymize(docs, settings.PII_KEY)
     kinds = F.coalesce(F.col("__found.kind"), F.array().cast("array<string>"))
@@ -222,7 +222,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter(kinds, lambda x: x == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return done.select("doc_id", *map(count, pii.KINDS), F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    return done.select("doc_id", "text", *map(count, pii.KINDS))
 
 
 # --- 10: MinHash near-dedup
