@@ -186,6 +186,8 @@ def test_two_processes_conflict(spark, root, db):
     with pytest.raises(ConflictError):
         db.sql("INSERT INTO t VALUES (2)")
     assert rows(Engine(spark, root), "SELECT * FROM t") == [(1,)]
+    db.sql("INSERT INTO t VALUES (2)")
+    assert rows(Engine(spark, root), "SELECT * FROM t") == [(1,), (2,)]
 
 
 def test_lazy_results_outlive_later_writes(db):
