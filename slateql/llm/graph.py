@@ -30,7 +30,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    out = out.where("a != b")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -6,19 +6,23 @@ one class, represented by its smallest id; only representatives are joined.
 Every representative has ``COORDS`` minwise tokens. A tree starts with all of
 them at its root; at a node one token position is selected (a second one with
 probability 1 / similarity - 1, so that a pair at the threshold keeps one common
-branch on average), and documents branch by their token there. Nodes of
-at most ``small`` documents are compared exhaustively. A larger one is compared
-with its first document at once, which links groups of near copies in linear
-time; after the links are confirmed, those that still hold more than one
-component branch on. A branch that does not shrink within ``max_depth`` levels
-is compared exhaustively, block by block, pairs of one component left out.
-Independent trees repeat this to the target recall: a pair at the threshold
-survives a level with probability 0.87 or more, so 16 trees miss it with
-probability below 1e-13 at the first level and below 1e-4 at the fourth.
-
-Comparison within a node is by length ratio and by two bits of each token
-(a pair at the threshold passes with 4.5 standard deviations to spare); what
-passes is confirmed on the full sets, computed again from the whole texts.
+branch on average), and documents branch by their token there. Independent trees
+repeat this to the target recall: a pair at the threshold survives a level with
+probability 0.87 or more, so 12 trees miss it with probability below 1e-10 at
+the first level and below 1e-3 at the fourth.
+
+First all nodes of the first level are searched: in nodes of at most ``small``
+documents every pair is compared by length ratio and by two bits of each token
+(a pair at the threshold passes with 4.5 standard deviations to spare), and a
+spanning forest of the close pairs becomes candidates; in a larger node the
+pairs with its first document do. This is linear in the size of a group of
+copies. Candidates are confirmed on the full sets, computed again from the whole
+texts, and the links joined to components.
+
+Then only nodes that still hold documents of several components are of interest.
+Those of at most ``block`` documents are compared exhaustively, on full sets
+within the node, pairs of one component left out; larger ones branch on, until
+they are small enough or ``max_depth`` is reached, where they are compared as they are.
 
 Defined cases: empty and null texts have the empty set, are linked with nothing
 and are kept. Rows that share an id are one document: it is linked if any of its
@@ -29,6 +33,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,7 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64(
 _SKETCH_DDL = "doc_id bigint, n bigint, h1 bigint, h2 bigint, b1 bigint, b2 bigint, sig binary"
 #: Ids up to this many are broadcast to find their texts; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 200_000
+_PARTNERS = 512
 
 
 def _odd(seed: int, n: int) -> np.ndarray:
@@ -106,7 +112,26 @@ def _branch(df: DataFrame, similarity: float, keep: list[str]) -> DataFrame:
 
 
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
-PAIR, MEMBER = 0, 1
+#: (a, b) is a candidate pair; (node, rep) of a node that branches on; (node, rep) of a node to compare on full sets.
+PAIR, MEMBER, ACTIVE = 0, 1, 2
+
+
+class _Sets:
+    """Union-find over small integers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 def _close(n, b1, b2, i, j, least_match: int, similarity: float) -> np.ndarray:
@@ -117,112 +142,243 @@ def _close(n, b1, b2, i, j, least_match: int, similarity: float) -> np.ndarray:
     return (COORDS - differ >= least_match) & (short >= similarity * long - 1e-9)
 
 
-def _compare(similarity: float, small: int, last: bool):
-    """Rows sorted by node -> candidate pairs, and the members of nodes that have to branch on."""
+def _least_match(similarity: float) -> int:
     p = similarity + (1 - similarity) / 4
-    least_match = int(COORDS * p - 4.5 * (COORDS * p * (1 - p)) ** 0.5)
+    return int(COORDS * p - 4.5 * (COORDS * p * (1 - p)) ** 0.5)
 
-    def within(g: dict, i, j) -> tuple[np.ndarray, np.ndarray]:
-        ok = (g["comp"][i] != g["comp"][j]) & _close(g["n"], g["b1"], g["b2"], i, j, least_match, similarity)
-        a, b = g["rep"][i][ok], g["rep"][j][ok]
-        return np.minimum(a, b), np.maximum(a, b)
 
-    def all_pairs(g: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        size = len(g["rep"])
-        if size <= 512:
-            yield within(g, *np.triu_indices(size, 1))
-            return
-        for k in range(1, size):  # one row against all before it: memory stays linear
-            yield within(g, np.full(k, k), np.arange(k))
+def _close_pairs(g: dict, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of close pairs of different components, row by row so that memory stays linear in large nodes."""
+    least_match, size = _least_match(similarity), len(g["rep"])
+    steps = [np.triu_indices(size, 1)] if size <= 512 else ((np.full(k, k), np.arange(k)) for k in range(1, size))
+    out = []
+    for i, j in steps:
+        ok = (g["comp"][i] != g["comp"][j]) & _close(g["n"], g["b1"], g["b2"], i, j, least_match, similarity)
+        out.append((i[ok], j[ok]))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+_NODE = ("node", "rep", "n", "b1", "b2", "comp")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple[dict, bool]]:
+    """Rows sorted by node -> (rows of a node of two or more, False), or, beyond ``most``, its parts as (rows, True); a part's first row is the node's."""
+    held: dict | None = None
+    large = False
+    for batch in batches:
+        rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(batch.schema.names)}
+        rows["b1"], rows["b2"] = rows["b1"].view(np.uint64), rows["b2"].view(np.uint64)
+        n = len(rows["node"])
+        if not n:
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(rows["node"][1:] != rows["node"][:-1]) + 1, [n]])
+        sizes = np.diff(cuts)
+        where = np.arange(len(sizes))
+        for k in np.flatnonzero((sizes > 1) | (where == 0) | (where == len(sizes) - 1)):  # nodes of one row inside the batch need no look
+            g = {c: v[cuts[k] : cuts[k + 1]] for c, v in rows.items()}
+            if held is not None and held["node"][0] == g["node"][0]:
+                held = {c: np.concatenate([held[c], g[c]]) for c in g}
+            else:
+                if held is not None and not large and len(held["node"]) > 1:
+                    yield held, False
+                held, large = g, False
+            if most is not None and (large or len(held["node"]) > most):
+                yield held, True
+                held, large = {c: v[:1] for c, v in held.items()}, True
+    if held is not None and not large and len(held["node"]) > 1:
+        yield held, False
+
+
+def _compare(similarity: float, small: int):
+    """First-level rows sorted by node -> what ``_FOUND`` says."""
+    least_match = _least_match(similarity)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("node", "rep", "n", "b1", "b2", "comp")
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
+        begun, held = None, 0
+
+        def pairs(g: dict, i: np.ndarray, j: np.ndarray) -> None:
+            a, b = g["rep"][i], g["rep"][j]
+            out.append((PAIR, np.minimum(a, b), np.maximum(a, b)))
+
+        for g, large in _groups(batches, small):
+            if large:
+                new = slice(0 if begun != g["node"][0] else 1, None)  # the first row of a later part was there before
+                begun = g["node"][0]
+                out.append((MEMBER, g["node"][new], g["rep"][new]))
+                j = np.arange(1, len(g["rep"]))
+                i = np.zeros_like(j)
+                ok = _close(g["n"], g["b1"], g["b2"], i, j, least_match, similarity)
+                pairs(g, i[ok], j[ok])
+            else:
+                i, j = _close_pairs(g, similarity)
+                if len(i):
+                    sets = _Sets(len(g["rep"]))
+                    tree = np.array([sets.join(x, y) for x, y in zip(i.tolist(), j.tolist())])
+                    pairs(g, i[tree], j[tree])
+                    if not tree.all():
+                        at = np.unique(np.concatenate([i, j]))
+                        out.append((ACTIVE, g["node"][at], g["rep"][at]))
+            held += 1
+            if held % 4096 == 0 or large:
+                yield from _flushed(out)
+        yield from _flushed(out)
 
-        def pairs(g) -> None:
-            out.extend((PAIR, a, b) for a, b in all_pairs(g) if len(a))
+    return emit
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                kinds = np.concatenate([np.full(len(a), k, np.int8) for k, a, _ in out])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([a for _, a, _ in out])), pa.array(np.concatenate([b for _, _, b in out]))], schema=_FOUND)
-                out.clear()
 
-        def star(pivot: dict, g: dict) -> None:
-            both = {c: np.concatenate([pivot[c], g[c]]) for c in names}
-            a, b = within(both, np.zeros(len(g["rep"]), np.int64), np.arange(1, len(g["rep"]) + 1))
-            if len(a):
-                out.append((PAIR, a, b))
+def _flushed(out: list) -> Iterator[pa.RecordBatch]:
+    if out:
+        kinds = np.concatenate([np.full(len(a), k, np.int8) for k, a, _ in out])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate([a for _, a, _ in out])), pa.array(np.concatenate([b for _, _, b in out]))], schema=_FOUND)
+        out.clear()
 
-        held: dict | None = None  # the node at the end of what was read
-        pivot: dict | None = None  # its first row, once it is known to be large
 
-        def close() -> None:
-            nonlocal held, pivot
-            if held is not None and pivot is None and len(held["rep"]) > 1:
-                pairs(held)
-            held, pivot = None, None
+def _by_node(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*_NODE, *more).repartition("node").sortWithinPartitions("node", "rep")
 
-        for batch in batches:
-            rows = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(names)}
-            rows["b1"], rows["b2"] = rows["b1"].view(np.uint64), rows["b2"].view(np.uint64)
-            if not len(rows["node"]):
+
+_LEVEL = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("comp", pa.int64()), ("sig", pa.binary())])
+_LEVEL_DDL = "kind tinyint, node bigint, rep bigint, n bigint, b1 bigint, b2 bigint, comp bigint, sig binary"
+#: A node of more rows than this branches on without a look at its components, to bound what a task holds.
+_MOST_HELD = 50_000
+
+
+def _level(similarity: float, block: int | None):
+    """Children sorted by node -> ACTIVE rows of small nodes, MEMBER rows of large ones that hold several components."""
+
+    def batch(kind: int, g: dict, at) -> pa.RecordBatch:
+        columns = [pa.array(g[c][at].view(np.int64) if c in ("b1", "b2") else g[c][at], t) for c, t in zip(_LEVEL.names[1:-1], _LEVEL.types[1:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int8)), *columns, pa.array(g["sig"][at].tolist(), pa.binary())], schema=_LEVEL)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, parts, comps = None, [], set()
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(comps) > 1:
+                for part in parts:
+                    yield batch(MEMBER, part, slice(None))
+            parts.clear()
+
+        for g, large in _groups(batches, block):
+            if not large:
+                i, j = _close_pairs(g, similarity)
+                if len(i):
+                    yield batch(ACTIVE, g, np.unique(np.concatenate([i, j])))
                 continue
-            cuts = np.concatenate([[0], np.flatnonzero(rows["node"][1:] != rows["node"][:-1]) + 1, [len(rows["node"])]])
-            sizes = np.diff(cuts)
-            # Nodes of one document inside the batch need no look.
-            for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                g = {c: v[cuts[k] : cuts[k + 1]] for c, v in rows.items()}
-                if held is None or held["node"][0] != g["node"][0]:
-                    close()
-                    held = g
-                elif pivot is None:
-                    held = {c: np.concatenate([held[c], g[c]]) for c in names}
-                if pivot is not None:
-                    star(pivot, g)
-                    out.append((MEMBER, g["node"], g["rep"]))
-                elif not last and len(held["rep"]) > small:
-                    pivot = {c: v[:1] for c, v in held.items()}
-                    star(pivot, {c: v[1:] for c, v in held.items()})
-                    out.append((MEMBER, held["node"], held["rep"]))
-            yield from flush()
-        close()
-        yield from flush()
+            if node != g["node"][0]:
+                yield from close()
+                node, comps = g["node"][0], set()
+            elif len(g["node"]) > 1:
+                g = {c: v[1:] for c, v in g.items()}  # the first row of a later part was there before
+            parts.append(g)
+            comps.update(g["comp"].tolist())
+            if sum(len(p["node"]) for p in parts) > _MOST_HELD:
+                comps.update((None, -1))
+                yield from close()
+        yield from close()
 
     return emit
 
 
-def _found(rows: DataFrame, similarity: float, small: int, last: bool = False) -> DataFrame:
-    dealt = rows.select("node", "rep", "n", "b1", "b2", "comp").repartition("node").sortWithinPartitions("node", "rep")
-    return checkpointed(dealt.mapInArrow(_compare(similarity, small, last), "kind tinyint, a bigint, b bigint"))
+def _linked(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all pairwise intersections, by products of 0/1 matrices over the shingles that several sets hold."""
+    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    column = (np.cumsum(several) - 1)[inverse]
+    keep = several[inverse]
+    rows, column = np.repeat(np.arange(len(sets)), list(map(len, sets)))[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(several.sum()), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[rows[a:b], column[a:b] - start] = 1
+        out += m @ m.T
+    return out
+
+
+#: Multiplications up to which a node's intersections are computed at once; beyond, close pairs are taken one by one.
+_MOST_PRODUCTS = 2e10
+
+
+def _full_compare(width: int, percent: int):
+    """Rows of a node with their texts, sorted by node -> a spanning forest of the links between components."""
+
+    def links_of(g: dict, cache: WordHashes) -> list[tuple[int, int]]:
+        places: dict[int, int] = {}
+        comp = [places.setdefault(c, len(places)) for c in g["comp"].tolist()]
+        sets = [shingle_set(t, cache, width) for t in g["text"]]
+        n = np.array(list(map(len, sets)))
+        joined, at_once = _Sets(len(places)), len(sets) ** 2 * float(n.sum()) / 2 <= _MOST_PRODUCTS
+        if at_once:
+            common = _intersections(sets)
+            hit = (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common))
+            i, j = np.nonzero(np.triu(hit, 1))
+        else:
+            i, j = _close_pairs(g, percent / 100)
+        links = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            if joined.find(comp[x]) != joined.find(comp[y]) and (at_once or _linked(percent, sets[x], sets[y])):
+                joined.join(comp[x], comp[y])
+                links.append((min(g["rep"][x], g["rep"][y]), max(g["rep"][x], g["rep"][y])))
+        return links
 
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for g, _ in _groups(batches, None):
+            links = links_of(g, cache)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    pairs = checkpointed(pairs.distinct())
-    ids = checkpointed(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    return emit
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of the distinct ``id``s."""
+    ids = checkpointed(ids)
     wanted = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, kept = WordHashes(), (None, None)
-        for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            texts_a, texts_b = (batch.column(k).cast(pa.binary()) for k in (2, 3))
-            for k, (a, ta, tb) in enumerate(zip(batch.column(0).to_pylist(), texts_a, texts_b)):
-                ta = ta.as_py()
-                if kept[0] != (a, ta):  # rows of one document mostly come together
-                    kept = ((a, ta), shingle_set(ta, cache, width))
-                x, y = kept[1], shingle_set(tb.as_py(), cache, width)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                hit[k] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit)) for k in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(emit, "a bigint, b bigint").distinct()
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
+    Every a is sent to the texts of its b, ``_PARTNERS`` or so at a time, and each b's text travels once a pair.
+    """
+    pairs = checkpointed(pairs.distinct())
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    roles = dealt.select(F.col("b").alias("id"), "a", "part", F.lit(True).alias("partner")).union(dealt.select(F.col("a").alias("id"), "a", "part", F.lit(False)).distinct())
+    roles = checkpointed(roles)
+    wanted = F.broadcast(roles) if roles.count() <= MAX_BROADCAST_IDS else roles
+    rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("a", "part", "partner", "id", F.col("text").cast("binary").alias("text"))
 
-def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int = 16, small: int = 24, max_depth: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, group, own = WordHashes(), None, []
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for k, (a, part, partner, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+                found = shingle_set(batch.column(4)[k].as_py(), cache, width)
+                if group != (a, part):
+                    group, own = (a, part), []
+                if not partner:
+                    own.append(found)
+                elif any(_linked(percent, x, found) for x in own):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", "partner", "id")
+    return ordered.mapInArrow(emit, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, small: int = 24, block: int = 2_048, max_depth: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -231,24 +387,28 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int
     reps = checkpointed(classed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("b1", "b2", "sig")]))
 
     roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(trees)])))
-    found = _found(_branch(roots, similarity, ["rep", "n", "b1", "b2", F.col("rep").alias("comp")]), similarity, small)
-    as_pairs = lambda f: f.where(F.col("kind") == PAIR).select("a", "b")
-    links = checkpointed(_confirmed(as_pairs(found), docs, width, percent))
+    first = _branch(roots, similarity, ["rep", "n", "b1", "b2", F.col("rep").alias("comp")])
+    found = checkpointed(_by_node(first).mapInArrow(_compare(similarity, small), "kind tinyint, a bigint, b bigint"))
+    links = checkpointed(_confirmed(found.where(F.col("kind") == PAIR).select("a", "b"), docs, width, percent))
     joined = checkpointed(components(links))
 
-    pairs = None
+    members = found.where(F.col("kind") != PAIR).select("kind", F.col("a").alias("node"), F.col("b").alias("rep"))
+    placed = members.join(joined, F.col("rep") == F.col("id"), "left").select("kind", "node", "rep", F.coalesce("component", "rep").alias("comp"))
+    several = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node")
+    rows = checkpointed(placed.join(several, "node", "left_semi").join(reps.select("rep", "n", "b1", "b2", "sig"), "rep").select(*_LEVEL.names))
+    active = [rows.where(F.col("kind") == ACTIVE).select(*_NODE)]
     for depth in range(2, max_depth + 1):
-        members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("node"), F.col("b").alias("rep"))
-        placed = members.join(joined, F.col("rep") == F.col("id"), "left").select("node", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed_nodes = placed.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node")
-        open_rows = checkpointed(placed.join(mixed_nodes, "node", "left_semi"))
-        if open_rows.isEmpty():
+        rows = rows.where(F.col("kind") == MEMBER)
+        if rows.isEmpty():
             break
-        rows = open_rows.join(reps.select("rep", "n", "b1", "b2", "sig"), "rep")
-        found = _found(_branch(rows, similarity, ["rep", "n", "b1", "b2", "comp"]), similarity, small, last=depth == max_depth)
-        pairs = as_pairs(found) if pairs is None else pairs.union(as_pairs(found))
-    if pairs is not None:
-        links = links.union(_confirmed(pairs, docs, width, percent))
+        children = _branch(rows, similarity, [*_NODE[1:], "sig"])
+        rows = checkpointed(_by_node(children, "sig").mapInArrow(_level(similarity, block if depth < max_depth else None), _LEVEL_DDL))
+        active.append(rows.where(F.col("kind") == ACTIVE).select(*_NODE))
+    rest = checkpointed(reduce(DataFrame.union, active))
+    if not rest.isEmpty():
+        texts = _texts(docs, rest.select(F.col("rep").alias("id")).distinct())
+        whole = rest.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")), "rep")
+        links = links.union(_by_node(whole, "text").mapInArrow(_full_compare(width, percent), "a bigint, b bigint"))
         joined = checkpointed(components(links))
 
     placed = reps.select("h1", "h2", "n", "rep").join(joined, F.col("rep") == F.col("id"), "left").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("n").alias("__n"), F.coalesce("component", "rep").alias("component_id"))
