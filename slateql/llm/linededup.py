@@ -15,8 +15,8 @@ Aligned lines of all partners together form blocks of
 adjacent lines; a block of at least ``min_words`` words is deleted from the later document.
 
 Lines without words are no lines here: only the others are numbered, and blank
-lines inside a deleted block go with it. Lines are compared as they are, by two
-64-bit hashes.
+lines inside a deleted block go with it. Lines are compared as they are, by 128
+bits of two hashes and the length.
 
 Defined cases: null text stays null, and an empty text empty. Repeated rows of an
 id and a text are one document and are all cut alike; rows that share an id but
@@ -32,11 +32,14 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slateql.llm.exprs import BLANKS, words
+from slateql.llm.graph import checkpointed
 
+#: Up to so many distinct shared lines are broadcast to find their occurrences; more are joined by a shuffle.
+MAX_BROADCAST_LINES = 200_000
 CUTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
 CUTS_DDL = "doc_id bigint, h bigint, blocks array<struct<first:int,last:int>>"
 
@@ -105,18 +108,29 @@ def _blocks(lines: list[dict], min_words: int) -> list[dict]:
     return out
 
 
+def _n_words(line: Column) -> Column:
+    """Lines of words between single spaces, the usual ones, are counted without a regular expression."""
+    gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    single = ~(line.contains("  ") | line.startswith(" ") | line.endswith(" ")) & (F.translate(line, BLANKS.replace(" ", ""), "") == line)
+    return F.when(single, gaps + 1).otherwise(F.size(words(line)))
+
+
 def shared_lines(docs: DataFrame) -> DataFrame:
     """One row per line of a later document that an earlier one holds: doc_id, h, places, n_words, partner, partner_places."""
     raw = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("raw")))
     worded = F.filter(raw, lambda x: F.length(F.translate(x["line"], BLANKS, "")) > 0)
     split = docs.select("doc_id", "h", F.posexplode(worded).alias("no", "at"))
     line = F.col("at.line")
-    lines = split.select("doc_id", "h", F.xxhash64(line).alias("h1"), F.xxhash64(F.length(line), F.reverse(line)).alias("h2"), F.struct("no", "at.raw").alias("place"), F.size(words(line)).alias("n_words"))
-    own = lines.groupBy("h1", "h2", "doc_id", "h").agg(F.min("n_words").alias("n_words"), F.sort_array(F.collect_set("place")).alias("places"))
-    partners = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last")).where("partner < last")
-    joined = own.join(partners, ["h1", "h2"])
-    places = joined.where("doc_id = partner").groupBy("h1", "h2").agg(F.min(F.col("places.no")).alias("partner_places"))
-    return joined.where("doc_id > partner").join(places, ["h1", "h2"]).select("doc_id", "h", "places", "n_words", "partner", "partner_places")
+    second = F.shiftleft(F.hash(line).cast("bigint"), 32) + F.length(line)
+    lines = split.select("doc_id", "h", F.xxhash64(line).alias("h1"), second.alias("h2"), F.struct("no", "at.raw").alias("place"), _n_words(line).alias("n_words"))
+    ends = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"))
+    partners = checkpointed(ends.where("partner < last").select("h1", "h2", "partner"))
+    known = F.broadcast(partners) if partners.count() <= MAX_BROADCAST_LINES else partners
+    by_document = lines.join(known, ["h1", "h2"]).groupBy("h1", "h2", "partner", "doc_id", "h")
+    shared = checkpointed(by_document.agg(F.min("n_words").alias("n_words"), F.sort_array(F.collect_set("place")).alias("places")))
+    places = shared.where("doc_id = partner").groupBy("h1", "h2").agg(F.min(F.col("places.no")).alias("partner_places"))
+    later = shared.where("doc_id > partner").join(places, ["h1", "h2"])
+    return later.select("doc_id", "h", "places", "n_words", "partner", "partner_places")
 
 
 def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
