@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slateql.llm.graph import checkpointed, components
+from slateql.llm.process import per_process
 from slateql.llm.shingles import WordHashes, mixed, shingle_set
 
 COORDS = 64
@@ -80,7 +81,7 @@ def _sketches(width: int):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), *[pa.array(columns[c].view(np.int64)) for c in ("h1", "h2", "b1", "b2")], pa.array(sigs, pa.binary())], schema=_SKETCH)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = per_process("word hashes", WordHashes)
         for batch in batches:
             ids, sets, held = [], [], 0
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -331,7 +332,7 @@ def _full_compare(width: int, percent: int):
         return links
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = per_process("word hashes", WordHashes)
         for g, _ in _groups(batches, None):
             links = links_of(g, cache)
             if links:
@@ -361,7 +362,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     rows = docs.join(wanted, F.col("doc_id") == F.col("id")).select("a", "part", "partner", "id", F.col("text").cast("binary").alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, group, own = WordHashes(), None, []
+        cache, group, own = per_process("word hashes", WordHashes), None, []
         for batch in batches:
             links: list[tuple[int, int]] = []
             for k, (a, part, partner, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):

@@ -73,7 +73,7 @@ class WordIds:
     SEPARATORS = "\n\t\r\x0b\x0c"
     LONGEST_KEPT = 64
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -1,4 +1,4 @@
-"""Objects that a Python worker keeps from task to task."""
+"""The object that a Python worker keeps from task to task: one, so that stages do not pile up their caches."""
 
 from __future__ import annotations
 
@@ -9,8 +9,12 @@ _NAME = "slateql_worker_cache"
 
 
 def per_process(key, make):
-    """``make()``, made once a worker process and key; functions shipped by value start with fresh globals otherwise."""
-    kept = sys.modules.setdefault(_NAME, types.ModuleType(_NAME)).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """``make()``, made once a worker process until another key is asked for.
+
+    Functions shipped by value start with fresh globals otherwise.
+    """
+    holder = sys.modules.setdefault(_NAME, types.ModuleType(_NAME))
+    if getattr(holder, "key", None) != key:
+        holder.key = holder.made = None  # what was kept goes before the new one is made
+        holder.made, holder.key = make(), key
+    return holder.made

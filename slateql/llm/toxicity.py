@@ -152,7 +152,7 @@ _SENTENCE, _BREAK = 1000.0, 2000.0
 class WordValues:
     """word -> its value, plus ``_SENTENCE`` if it ends a sentence; two generations of ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 150_000):
         self.model, self.limit = model, limit
         self.held, self.old = {"\n": _BREAK}, {}
         self.bare: dict[str, float] = {}
