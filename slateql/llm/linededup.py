@@ -9,9 +9,13 @@ alignment is in its own rows.
 
 Alignment is a patience diff of the later document against each partner: lines
 that occur once in both (rare lines) are anchors, the longest increasing run of
-anchors is kept, and matches grow from the anchors through equal neighbours.
-Repeated lines count only where they grow from an anchor, or if a pair has no anchor.
-Aligned lines of all partners together form blocks of
+anchors is kept, and matches grow from the anchors through equal neighbours. The
+gaps between are aligned alike, by lines unique in the gap; a gap without any gets a plain
+diff. Then come passages that moved: runs of ``min_words`` or more words that are
+adjacent in both documents, longest first, and at last the alignment is repeated on
+the lines left of the pair until it gives no block of that size. An earlier place serves
+one later place, so of a passage that the later document repeats as many go as the
+earlier one holds. Aligned lines of all partners together form blocks of
 adjacent lines; a block of at least ``min_words`` words is deleted from the later document.
 
 Lines without words are no lines here: only the others are numbered, and blank
@@ -28,8 +32,10 @@ An empty table stays empty.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,29 +68,138 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(shared: dict[int, list[int]], once: set[int]) -> list[int]:
+def _diff(ks: list[int], places: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """A plain diff: the longest common subsequence of the later places ``ks`` and their places in the earlier document."""
+    if len({places[k][0] for k in ks}) == 1 and all(len(places[k]) == len(places[ks[0]]) for k in ks):  # one line only
+        return list(zip(ks, sorted(places[ks[0]])))
+    tails, ends = [], []
+    for k in ks:
+        for e in sorted(places[k], reverse=True):
+            i = bisect_left(tails, e)
+            link = (k, e, ends[i - 1] if i else None)
+            if i == len(tails):
+                tails.append(e)
+                ends.append(link)
+            else:
+                tails[i], ends[i] = e, link
+    out, link = [], ends[-1] if ends else None
+    while link:
+        out.append(link[:2])
+        link = link[2]
+    return out[::-1]
+
+
+def _patience(shared: dict[int, list[int]], once: set[int] | None = None) -> dict[int, int]:
+    """A patience diff, repeated in the gaps between what it aligned; a gap without unique lines gets a plain diff."""
+    aligned: dict[int, int] = {}
+    taken: set[int] = set()
+    gaps = [(sorted(shared), shared, once)]
+    while gaps:
+        ks, places, unique = gaps.pop()
+        if unique is None:  # equal lines have equal places
+            seen = Counter(shared[k][0] for k in ks)
+            unique = {k for k in ks if seen[shared[k][0]] == 1}
+        anchors = _increasing([(k, places[k][0]) for k in ks if len(places[k]) == 1 and k in unique])
+        if not anchors:
+            found = dict(_diff(ks, places))
+            aligned.update(found)
+            taken.update(found.values())
+            continue
+        found = dict(anchors)
+        taken.update(found.values())
+        for step in (1, -1):
+            for k, e in anchors:
+                k, e = k + step, e + step
+                while k in places and k not in found and e in places[k] and e not in taken:
+                    found[k] = e
+                    taken.add(e)
+                    k, e = k + step, e + step
+        aligned.update(found)
+        bounds = [(-1, -1), *sorted(found.items()), (float("inf"), float("inf"))]
+        at = 0
+        for (k0, e0), (k1, e1) in pairwise(bounds):
+            inside = {}
+            while at < len(ks) and ks[at] < k1:
+                if ks[at] > k0:
+                    free = [e for e in places[ks[at]] if e0 < e < e1]
+                    if free:
+                        inside[ks[at]] = free
+                at += 1
+            if inside:
+                gaps.append((list(inside), inside, None))
+    return aligned
+
+
+def _runs(places: Iterable[int]) -> list[list[int]]:
+    """Adjacent places together; ``places`` are sorted."""
+    out: list[list[int]] = []
+    for k in places:
+        if out and k == out[-1][-1] + 1:
+            out[-1].append(k)
+        else:
+            out.append([k])
+    return out
+
+
+def _tiles(shared: dict[int, list[int]], aligned: dict[int, int], sizes: dict[int, int], min_words: int) -> dict[int, int]:
+    """Runs of ``min_words`` or more words, adjacent in both documents, that hold a line not aligned yet: longest first.
+
+    An earlier place serves one later place; those of aligned blocks of that size are taken.
+    """
+    enough = lambda run: sum(sizes[k] for k in run) >= min_words
+    owner = {aligned[k]: k for run in _runs(sorted(aligned)) if enough(run) for k in run}
+    waiting: list[tuple[int, int, int, int]] = []
+
+    def propose(k: int, e: int, n: int) -> None:
+        run = range(k, k + n)
+        if enough(run) and any(x not in aligned for x in run):
+            heappush(waiting, (-sum(sizes[x] for x in run), k, e, n))
+
+    for run in _runs(sorted(shared)):
+        if not enough(run) or all(k in aligned for k in run):
+            continue
+        before: dict[int, int] = {}
+        for k in [*run, None]:
+            here = {e: before.get(e - 1, 0) + 1 for e in shared[k]} if k is not None else {}
+            for e, n in before.items():
+                if e + 1 not in here:
+                    last = run[-1] if k is None else k - 1
+                    propose(last - n + 1, e - n + 1, n)
+            before = here
+    out: dict[int, int] = {}
+    while waiting:
+        _, k, e, n = heappop(waiting)
+        free = [x for x in range(n) if owner.get(e + x, k + x) == k + x]
+        if len(free) < n:
+            for part in _runs(free):
+                propose(k + part[0], e + part[0], len(part))
+        elif any(k + x not in aligned and k + x not in out for x in free):
+            out.update({k + x: e + x for x in free})
+            owner.update({e + x: k + x for x in free})
+    return out
+
+
+def align(shared: dict[int, list[int]], once: set[int], sizes: dict[int, int] | None = None, min_words: int = 0) -> list[int]:
     """Aligned places of the later document.
 
     ``shared``: its place -> the line's places in the earlier one; ``once``: its places of lines that occur once in it.
+    With ``sizes``, the words of its places, blocks of ``min_words`` or more that moved or repeat are aligned as well.
     """
-    anchors = _increasing(sorted((k, e[0]) for k, e in shared.items() if len(e) == 1 and k in once))
-    if not anchors:  # repeated lines only: each takes the next free place
-        anchors, last = [], -1
-        for k in sorted(shared):
-            free = [e for e in shared[k] if e > last]
-            if free:
-                last = min(free)
-                anchors.append((k, last))
-    aligned = dict(anchors)
-    taken = set(aligned.values())
-    for step in (1, -1):
-        for k, e in anchors:
-            k, e = k + step, e + step
-            while k in shared and k not in aligned and e in shared[k] and e not in taken:
-                aligned[k] = e
-                taken.add(e)
-                k, e = k + step, e + step
-    return sorted(aligned)
+    aligned = _patience(shared, once)
+    if sizes is None:
+        return sorted(aligned)
+    aligned |= _tiles(shared, aligned, sizes, min_words)
+    while True:
+        taken = set(aligned.values())
+        left = {k: [e for e in es if e not in taken] for k, es in shared.items() if k not in aligned}
+        left = {k: es for k, es in left.items() if es}
+        if sum(sizes[k] for k in left) < min_words:
+            return sorted(aligned)
+        more = _patience(left)
+        blocks = [run for run in _runs(sorted(more)) if sum(sizes[k] for k in run) >= min_words]
+        if not blocks:
+            return sorted(aligned)
+        aligned |= {k: more[k] for run in blocks for k in run}
 
 
 def _blocks(lines: list[dict], min_words: int) -> list[dict]:
@@ -97,15 +212,8 @@ def _blocks(lines: list[dict], min_words: int) -> list[dict]:
             by_partner[line["partner"]][place["no"]] = line["partner_places"]
         if len(line["places"]) == 1:
             once.add(line["places"][0]["no"])
-    aligned = sorted({k for shared in by_partner.values() for k in align(shared, once)})
-    out, block = [], []
-    for k in [*aligned, None]:
-        if block and (k is None or k != block[-1] + 1):
-            if sum(sizes[b] for b in block) >= min_words:
-                out.append({"first": raw[block[0]], "last": raw[block[-1]]})
-            block = []
-        block.append(k)
-    return out
+    aligned = sorted({k for shared in by_partner.values() for k in align(shared, once, sizes, min_words)})
+    return [{"first": raw[run[0]], "last": raw[run[-1]]} for run in _runs(aligned) if sum(sizes[k] for k in run) >= min_words]
 
 
 def _n_words(line: Column) -> Column:

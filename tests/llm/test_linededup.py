@@ -56,3 +56,24 @@ def test_against_brute_force(spark):
         wanted.append((i, "\n".join(keep)))
         seen.update(own)
     assert [(i, t) for i, t, _ in cut(spark, rows, 12)] == wanted
+
+
+def test_gaps_between_anchors_are_aligned():
+    assert len(align({0: [0], 2: [0], 4: [2]}, {4})) == 2  # one of a passage that stands twice, and the anchor
+    assert align({0: [0], 2: [1, 3], 3: [2], 4: [1, 3], 6: [5]}, {0, 3, 6}) == [0, 2, 3, 4, 6]
+    assert align({0: [0], 2: [2, 4], 4: [2, 4], 6: [6]}, {0, 6}) == [0, 2, 4, 6]  # a plain diff in the gap
+
+
+def test_moved_passages_are_aligned():
+    words = dict.fromkeys(range(8), 5)
+    assert align({0: [2], 1: [3], 2: [0], 3: [1]}, {0, 1, 2, 3}, words, 10) == [0, 1, 2, 3]
+    assert align({0: [2], 1: [3], 2: [0], 3: [9]}, {0, 1, 2, 3}, words, 10) == [0, 1, 3]  # a single moved line is too short
+    assert align({0: [4], 1: [6], 2: [8], 4: [0], 5: [2]}, {0, 1, 2, 4, 5}, words, 10) == [0, 1, 2, 4, 5]  # lines between them in the earlier one
+
+
+def test_swapped_and_repeated_passages_go(spark):
+    p, q, r = "one two three\nfour five six", "red green blue\nblack white grey", "same licence line"
+    rows = [(1, f"{p}\nmiddle\n{q}"), (2, f"{q}\nelse\n{p}"), (3, f"up\n{r}\nso\nsix of them now\nand more of that"), (4, f"{r}\na\nsix of them now\nand more of that\nb\nsix of them now\nand more of that")]
+    found = cut(spark, rows)
+    assert found[1] == (2, "else", 4)
+    assert found[3][1].count("six of them now") == 1 and found[3][2] == 2
