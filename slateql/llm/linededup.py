@@ -7,6 +7,14 @@ occurrence is left out. A later document then has, for each of its shared
 lines, one partner and the line's places there; everything it needs for the
 alignment is in its own rows.
 
+A passage of several lines may have another first holder than its lines. Where lines
+stay unaligned, the shortest windows of ``min_words`` or more words that hold them are
+looked up in all documents, and the document is aligned again with the first holders of whole
+windows as further partners. Windows cover every run of that many words, so a run
+common with any earlier document is found, in two passes and without pairs of all holders.
+A passage between whose lines every earlier holder has further lines is no window: it
+goes only where the first holders of its lines have them in order.
+
 Alignment is a patience diff of the later document against each partner: lines
 that occur once in both (rare lines) are anchors, the longest increasing run of
 anchors is kept, and matches grow from the anchors through equal neighbours. The
@@ -34,8 +42,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from heapq import heappop, heappush
 from itertools import pairwise
+from struct import pack
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,8 +56,18 @@ from slateql.llm.graph import checkpointed
 
 #: Up to so many distinct shared lines are broadcast to find their occurrences; more are joined by a shuffle.
 MAX_BROADCAST_LINES = 200_000
-CUTS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
-CUTS_DDL = "doc_id bigint, h bigint, blocks array<struct<first:int,last:int>>"
+LINE = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
+CUTS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("h", pa.int64()),
+        ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+        ("wanted", pa.list_(pa.struct([("key", pa.binary()), ("lines", pa.list_(LINE))]))),
+    ]
+)
+CUTS_DDL = "doc_id bigint, h bigint, blocks array<struct<first:int,last:int>>, wanted array<struct<key:binary,lines:array<struct<h1:bigint,h2:bigint>>>>"
+HELD = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64())])
+HELD_DDL = "key binary, doc_id bigint, h bigint"
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -202,18 +222,54 @@ def align(shared: dict[int, list[int]], once: set[int], sizes: dict[int, int] |
         aligned |= {k: more[k] for run in blocks for k in run}
 
 
-def _blocks(lines: list[dict], min_words: int) -> list[dict]:
-    """The blocks to delete in one later document, as first and last places of its text's lines."""
-    sizes, raw, once = {}, {}, set()
-    by_partner: dict[int, dict[int, list[int]]] = defaultdict(dict)
+def _windows(hashes: dict[int, tuple[int, int]], sizes: dict[int, int], min_words: int) -> Iterator[tuple[bytes, list[int]]]:
+    """(key, places) of the shortest windows of ``min_words`` or more words from each place on and up to each place.
+
+    They depend on the lines alone, and together cover every run of adjacent places of that many words.
+    """
+    for run in _runs(sorted(hashes)):
+        spans = set()
+        start, n = 0, 0
+        for end in range(len(run)):  # shortest up to ``end``
+            n += sizes[run[end]]
+            while n - sizes[run[start]] >= min_words:
+                n -= sizes[run[start]]
+                start += 1
+            if n >= min_words:
+                spans.add((start, end))
+        end, n = len(run) - 1, 0
+        for start in reversed(range(len(run))):  # shortest from ``start`` on
+            n += sizes[run[start]]
+            while n - sizes[run[end]] >= min_words:
+                n -= sizes[run[end]]
+                end -= 1
+            if n >= min_words:
+                spans.add((start, end))
+        for start, end in sorted(spans):
+            places = run[start : end + 1]
+            yield blake2b(b"".join(pack("<qq", *hashes[k]) for k in places), digest_size=16).digest(), places
+
+
+def _blocks(lines: list[dict], min_words: int) -> tuple[list[dict], list[dict]]:
+    """The blocks to delete in one later document, as first and last places of its text's lines, and the windows left.
+
+    A window is left if it holds a line that was not aligned; windows of one line met their first holder already.
+    """
+    sizes, raw, hashes, once = {}, {}, {}, set()
+    by_partner: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(dict)
     for line in lines:
         for place in line["places"]:
             sizes[place["no"]], raw[place["no"]] = line["n_words"], place["raw"]
-            by_partner[line["partner"]][place["no"]] = line["partner_places"]
+            hashes[place["no"]] = line["h1"], line["h2"]
+            by_partner[line["partner"], line["partner_h"]][place["no"]] = line["partner_places"]
         if len(line["places"]) == 1:
             once.add(line["places"][0]["no"])
-    aligned = sorted({k for shared in by_partner.values() for k in align(shared, once, sizes, min_words)})
-    return [{"first": raw[run[0]], "last": raw[run[-1]]} for run in _runs(aligned) if sum(sizes[k] for k in run) >= min_words]
+    aligned = {k for shared in by_partner.values() for k in align(shared, once, sizes, min_words)}
+    blocks = [{"first": raw[run[0]], "last": raw[run[-1]]} for run in _runs(sorted(aligned)) if sum(sizes[k] for k in run) >= min_words]
+    if len(aligned) == len(sizes):
+        return blocks, []
+    left = {key: places for key, places in _windows(hashes, sizes, min_words) if len(places) > 1 and not aligned.issuperset(places)}
+    return blocks, [{"key": key, "lines": [{"h1": hashes[k][0], "h2": hashes[k][1]} for k in places]} for key, places in left.items()]
 
 
 def _n_words(line: Column) -> Column:
@@ -223,8 +279,9 @@ def _n_words(line: Column) -> Column:
     return F.when(single, gaps + 1).otherwise(F.size(words(line)))
 
 
-def shared_lines(docs: DataFrame) -> DataFrame:
-    """One row per line of a later document that an earlier one holds: doc_id, h, places, n_words, partner, partner_places."""
+def shared_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row per line of a later document that an earlier one holds, with its first holder and the places there;
+    and one row per document and line that several documents hold: h1, h2, partner, doc_id, h, n_words, places."""
     raw = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("raw")))
     worded = F.filter(raw, lambda x: F.length(F.translate(x["line"], BLANKS, "")) > 0)
     split = docs.select("doc_id", "h", F.posexplode(worded).alias("no", "at"))
@@ -236,26 +293,64 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     known = F.broadcast(partners) if partners.count() <= MAX_BROADCAST_LINES else partners
     by_document = lines.join(known, ["h1", "h2"]).groupBy("h1", "h2", "partner", "doc_id", "h")
     shared = checkpointed(by_document.agg(F.min("n_words").alias("n_words"), F.sort_array(F.collect_set("place")).alias("places")))
-    places = shared.where("doc_id = partner").groupBy("h1", "h2").agg(F.min(F.col("places.no")).alias("partner_places"))
+    held = F.min(F.struct("h", F.col("places.no").alias("places"))).alias("held")  # one text of the partner's
+    places = shared.where("doc_id = partner").groupBy("h1", "h2").agg(held)
     later = shared.where("doc_id > partner").join(places, ["h1", "h2"])
-    return later.select("doc_id", "h", "places", "n_words", "partner", "partner_places")
+    return later.select("doc_id", "h", "h1", "h2", "places", "n_words", "partner", F.col("held.h").alias("partner_h"), F.col("held.places").alias("partner_places")), shared
+
+
+def _window_lines(first: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """The rows of ``shared_lines`` that pair the windows left with the first document that holds them whole."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, h, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                at = {k: line for line in lines for k in line["places"]}
+                keys = {key for key, _ in _windows({k: (x["h1"], x["h2"]) for k, x in at.items()}, {k: x["n_words"] for k, x in at.items()}, min_words)}
+                out += [{"key": key, "doc_id": doc_id, "h": h} for key in sorted(keys)]
+            yield pa.RecordBatch.from_pylist(out, schema=HELD)
+
+    wanted = first.select("doc_id", "h", F.explode("wanted").alias("w")).select("doc_id", "h", "w.key", "w.lines")
+    lines = wanted.select(F.explode("lines").alias("x")).select("x.h1", "x.h2").distinct()
+    by_document = shared.join(lines, ["h1", "h2"], "left_semi").groupBy("doc_id", "h")
+    holders = by_document.agg(F.collect_list(F.struct("h1", "h2", "n_words", F.col("places.no").alias("places"))).alias("lines")).mapInArrow(emit, HELD_DDL)
+    keys = wanted.select("key").distinct()
+    least = holders.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("holder"))
+    pairs = wanted.join(least, "key").where("holder.doc_id < doc_id").select("doc_id", "h", F.col("holder.doc_id").alias("partner"), F.col("holder.h").alias("partner_h"), F.explode("lines").alias("x"))
+    pairs = pairs.select("doc_id", "h", "partner", "partner_h", "x.h1", "x.h2").distinct()
+    own = shared.select("h1", "h2", "doc_id", "h", "places", "n_words")
+    there = shared.select("h1", "h2", F.col("doc_id").alias("partner"), F.col("h").alias("partner_h"), F.col("places.no").alias("partner_places"))
+    met = pairs.join(own, ["doc_id", "h", "h1", "h2"]).join(there, ["partner", "partner_h", "h1", "h2"])
+    return met.select("doc_id", "h", "h1", "h2", "places", "n_words", "partner", "partner_h", "partner_places")
 
 
 def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, h, blocks): what to delete, for documents that lose any line; ``h`` is ``xxhash64`` of the text."""
     docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    gathered = shared_lines(docs).groupBy("doc_id", "h").agg(
-        F.sum(F.col("n_words") * F.size("places")).alias("n_words"),
-        F.collect_list(F.struct("places", "n_words", "partner", "partner_places")).alias("lines"),
-    )
+    lines, shared = shared_lines(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [_blocks(lines.as_py(), min_words) for lines in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, CUTS.field(2).type)], schema=CUTS)
-
-    enough = gathered.where(F.col("n_words") >= min_words).select("doc_id", "h", "lines")
-    return enough.mapInArrow(emit, CUTS_DDL).where(F.size("blocks") > 0)
+            found = [_blocks(lines.as_py(), min_words) for lines in batch.column(2)]
+            blocks, wanted = [b for b, _ in found], [w for _, w in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, CUTS.field(2).type), pa.array(wanted, CUTS.field(3).type)], schema=CUTS)
+
+    def aligned(lines: DataFrame) -> DataFrame:
+        gathered = lines.groupBy("doc_id", "h").agg(
+            F.sum(F.col("n_words") * F.size("places")).alias("n_words"),
+            F.collect_list(F.struct("h1", "h2", "places", "n_words", "partner", "partner_h", "partner_places")).alias("lines"),
+        )
+        return gathered.where(F.col("n_words") >= min_words).select("doc_id", "h", "lines").mapInArrow(emit, CUTS_DDL)
+
+    first = checkpointed(aligned(lines).where((F.size("blocks") > 0) | (F.size("wanted") > 0)))
+    cuts = first.select("doc_id", "h", "blocks")
+    if not first.where(F.size("wanted") > 0).isEmpty():
+        more = checkpointed(_window_lines(first, shared, min_words))
+        again = more.select("doc_id", "h").distinct()
+        second = aligned(lines.join(again, ["doc_id", "h"], "left_semi").unionByName(more)).select("doc_id", "h", "blocks")
+        cuts = cuts.join(again, ["doc_id", "h"], "left_anti").unionByName(second)
+    return cuts.where(F.size("blocks") > 0)
 
 
 def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

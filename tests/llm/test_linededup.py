@@ -77,3 +77,35 @@ def test_swapped_and_repeated_passages_go(spark):
     found = cut(spark, rows)
     assert found[1] == (2, "else", 4)
     assert found[3][1].count("six of them now") == 1 and found[3][2] == 2
+
+
+def test_passage_whose_lines_have_another_first_holder(spark):
+    lines = [f"line {k} of the passage" for k in range(5)]
+    tail = "ends"
+    rows = [(1, "\n".join(reversed([*lines, tail]))), (2, "\n".join(["b", *lines, tail])), (3, "\n".join(["c", *lines, tail, "own"])), (4, "\n".join(["d", *lines[1:4], "mine"]))]
+    found = cut(spark, rows, 15)
+    assert found[1] == (2, rows[1][1], 0)  # nobody before has it in this order
+    assert found[2] == (3, "c\nown", 6)
+    assert found[3] == (4, "d\nmine", 3)
+
+
+def test_every_common_run_goes(spark):
+    """Distinct lines in any order: a run of three or more that any earlier document holds is cut."""
+    rng = random.Random(5)
+    lines = [f"line {k} has words" for k in range(12)]
+    rows = []
+    for i in range(30):
+        own = rng.sample(lines, 12)
+        if rows:
+            other = rng.choice(rows)[1].split("\n")
+            at = rng.randrange(8)
+            run = other[at : at + rng.randrange(3, 6)]
+            own = [x for x in own if x not in run]
+            own[4:4] = run
+        rows.append((i, "\n".join(own)))
+    for k, (i, text, _) in enumerate(cut(spark, rows, 12)):
+        assert i == k
+        own, kept = rows[k][1].split("\n"), set(text.split("\n"))
+        for at in range(len(own) - 2):
+            if any("\n".join(own[at : at + 3]) + "\n" in earlier + "\n" for _, earlier in rows[:k]):
+                assert not kept & set(own[at : at + 3])
