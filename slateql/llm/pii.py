@@ -4,10 +4,11 @@ Column expressions only. One regular expression finds candidates; each is
 validated (Luhn sum of a card number, octets of an address, the calendar for
 dates) and then permuted within its format:
 
-* card numbers: all digits but the last are permuted, the last is the new check digit;
-* telephone numbers: the ten digits behind ``+1``;
+* card numbers, unbroken or in groups (4-4-4-4, 4-6-4, 4-6-5): all digits but the last are permuted, the last is the new check digit;
+* telephone numbers: the digits behind ``+`` and the country code, or ten digits as 555-123-4567, 555.123.4567 or (555) 123-4567;
 * IPv4 addresses: four numbers below 256;
-* dates (2001-12-31, 31.12.2001, 12/31/2001) from 1900-01-01 on: the day's number among 270 * 271 days, up to 2100-05-02;
+* dates (2001-12-31, 31.12.2001, 12/31/2001, also 1.2.2001, 1/2/2001 and before a time, 2001-12-31T10:00) from 1900-01-01 on:
+  the day's number among 270 * 271 days, up to 2100-05-02; with slashes the month comes first, or second where that is no date;
 * e-mail addresses: letters and digits of the local part, each within its class;
 * hexadecimal secrets of 32 to 128 digits: digits within 0-9a-f (or A-F).
 
@@ -33,10 +34,15 @@ KINDS = ("email", "secret", "phone", "card", "ip", "date")
 
 _EMAIL = r"(?<![\w.%+-])[\w.%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
-_PHONE = r"\+1 \(\d{3}\) \d{3}-\d{4}(?!\d)"
-_CARD = r"(?<![\w.])\d{13,19}(?!\w)"
+_COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9]\d\d)"
+_PHONE = (
+    r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+    r"|(?!\+1)" + _COUNTRY + r"(?:[ ./-]?(?:\(\d{1,4}\)|\d)){6,12}(?!\d)"
+    r"|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w|[.-]\d)"
+)
+_CARD = r"(?<![\w.])(?:\d{13,19}|(?<!\d-)(?:\d{4}(?:(?: \d{4}){3}|(?:-\d{4}){3}|[ -]\d{6}[ -]\d{4,5}))(?!-\d))(?!\w)"
 _IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
-_DATE = r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w|[./-]\d)"
+_DATE = r"(?<![\w.])(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!(?!T\d\d:)\w|[./-]\d)"
 CANDIDATE = "|".join((_EMAIL, _SECRET, _PHONE, _CARD, _IP, _DATE))
 _FIRST, _DAYS_A, _DAYS_B = "1900-01-01", 270, 271
 
@@ -87,7 +93,23 @@ def _permuted_text(text: Column, kind: str, key: str, classes: tuple[str, ...] =
 
         return let(placed, spelled)
 
-    return F.when(F.length(text) < 2, text).otherwise(let(text, of))
+    def single(t: Column) -> Column:
+        alphabet = F.coalesce(*[F.when(F.position(t, F.lit(a)) > 0, F.lit(a)) for a in classes], t)
+        digest = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|1|"), alphabet), 256), 1, 8), 16, 10).cast("bigint")
+        moved = (F.position(t, alphabet) + digest % F.greatest(F.length(alphabet) - 1, F.lit(1))) % F.length(alphabet)
+        return F.substring(alphabet, moved.cast("int") + 1, F.lit(1))
+
+    return F.when(F.length(text) < 1, text).when(F.length(text) == 1, let(text, single)).otherwise(let(text, of))
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
+
+
+def _placed(m: Column, digits: Column) -> Column:
+    """``m`` with its digits replaced in turn by ``digits``."""
+    char = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.struct(F.substring(m, i, F.lit(1)).alias("c"), F.length(_digits(F.substring(m, F.lit(1), i))).alias("n")))
+    return F.array_join(F.transform(char, lambda x: F.when(x["c"].rlike("[0-9]"), F.substring(digits, x["n"], F.lit(1))).otherwise(x["c"])), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -103,9 +125,23 @@ def _check_digit(digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    body = F.substring(m, F.lit(1), F.length(m) - 1)
-    new = let(_permuted_text(body, "card", key), lambda b: F.concat(b, _check_digit(b)))
-    return F.when(_check_digit(body) == F.substring(m, F.length(m), F.lit(1)), new)
+    def of(d: Column) -> Column:
+        body = F.substring(d, F.lit(1), F.length(d) - 1)
+        new = let(_permuted_text(body, "card", key), lambda b: _placed(m, F.concat(b, _check_digit(b))))
+        return F.when(_check_digit(body) == F.substring(d, F.length(d), F.lit(1)), new)
+
+    return let(_digits(m), of)
+
+
+def _phone(m: Column, key: str) -> Column:
+    """The country code stays; a number has the same pseudonym however its digits are grouped."""
+    code = F.regexp_extract(m, "^" + _COUNTRY, 0)
+
+    def of(c: Column) -> Column:
+        rest = F.substring(m, F.length(c) + 1, F.length(m))
+        return let(rest, lambda r: F.concat(c, let(_permuted_text(_digits(r), "phone", key), lambda d: _placed(r, d))))
+
+    return let(code, of)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -115,20 +151,29 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    formats = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}\.": "dd.MM.yyyy", r"^\d{2}/": "MM/dd/yyyy"}
+    formats = [
+        (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
+        (r"^\d{4}-", "yyyy-M-d"),
+        (r"^\d\d\.\d\d\.", "dd.MM.yyyy"),
+        (r"^\d+\.", "d.M.yyyy"),
+        (r"^\d\d/\d\d/", "MM/dd/yyyy"),
+        (r"^\d\d/\d\d/", "dd/MM/yyyy"),
+        (r"^\d+/", "M/d/yyyy"),
+        (r"^\d+/", "d/M/yyyy"),
+    ]
     moduli = F.array(F.lit(_DAYS_A), F.lit(_DAYS_B))
 
-    def moved(fmt: str) -> Column:
+    def read(fmt: str) -> Column:
         day = F.datediff(F.try_to_date(m, fmt), F.lit(_FIRST).cast("date"))
+        return let(day, lambda d: F.when(d.isNotNull(), F.struct(F.lit(fmt).alias("fmt"), d.alias("d"))))
 
-        def of(d: Column) -> Column:
-            pair = F.array(F.floor(d / _DAYS_B).cast("int"), (d % _DAYS_B).cast("int"))
-            new = let(permuted(pair, moduli, "date", key), lambda p: F.get(p, F.lit(0)) * _DAYS_B + F.get(p, F.lit(1)))
-            return F.when(d.between(0, _DAYS_A * _DAYS_B - 1), F.date_format(F.date_add(F.lit(_FIRST).cast("date"), new), fmt))
-
-        return let(day, of)
+    def of(x: Column) -> Column:
+        pair = F.array(F.floor(x["d"] / _DAYS_B).cast("int"), (x["d"] % _DAYS_B).cast("int"))
+        new = let(permuted(pair, moduli, "date", key), lambda p: F.date_add(F.lit(_FIRST).cast("date"), F.get(p, F.lit(0)) * _DAYS_B + F.get(p, F.lit(1))))
+        spelled = let(new, lambda n: F.coalesce(*[F.when(x["fmt"] == fmt, F.date_format(n, fmt)) for _, fmt in formats]))
+        return F.when(x["d"].between(0, _DAYS_A * _DAYS_B - 1), spelled)
 
-    return F.coalesce(*[F.when(m.rlike(p), moved(fmt)) for p, fmt in formats.items()])
+    return let(F.coalesce(*[F.when(m.rlike(p), read(fmt)) for p, fmt in formats]), of)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -137,11 +182,11 @@ def pseudonym(m: Column, key: str) -> Column:
     hexadecimal = F.when(m.rlike("[a-f]"), _permuted_text(m, "secret", key, _HEX[:1])).otherwise(_permuted_text(m, "secret", key, _HEX[1:]))
     new = {
         "email": F.when(m.contains("@"), F.concat(_permuted_text(local, "email", key), F.substring(m, F.length(local) + 1, F.length(m)))),
-        "phone": F.when(m.startswith("+"), F.concat(F.lit("+1 "), _permuted_text(F.substring(m, F.lit(4), F.length(m)), "phone", key))),
+        "phone": F.when(m.rlike(f"^(?:{_PHONE})$"), _phone(m, key)),
         "secret": F.when(m.rlike("^[0-9A-Fa-f]{32,}$"), hexadecimal),
-        "card": F.when(m.rlike(r"^\d{13,19}$"), _card(m, key)),
+        "card": F.when(m.rlike(f"^(?:{_CARD})$"), _card(m, key)),
         "ip": F.when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), _ip(m, key)),
-        "date": F.when(m.rlike(r"^\d+[-./]\d\d[-./]\d+$"), _date(m, key)),
+        "date": F.when(m.rlike(r"^\d+[-./]\d\d?[-./]\d+$"), _date(m, key)),
     }
 
     def named(kind: str, value: Column) -> Column:

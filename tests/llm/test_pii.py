@@ -65,3 +65,28 @@ def test_defined_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymize(empty, "k").count() == 0
     assert "Python" not in pii.pseudonymize(empty, "k")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("card", ["4539 5787 6362 1486", "4539-5787-6362-1486", "3782 822463 10005"]),
+    ("phone", ["555-123-4567", "(555) 123-4567", "+49 30 1234567", "+33 1 23 45 67 89", "+34 612 345 678", "+1 555-123-4567", "+15551234567"]),
+    ("date", ["31/12/2001", "1.2.2001", "1/2/2001", "2001-1-2"]),
+    ("email", ["a@mail.example.com", "7@mail.example.com"]),
+])
+def test_other_formats(spark, kind, values):
+    for v, (text, matches) in zip(values, done(spark, [f"x {v}, y" for v in values]).values()):
+        assert [m[:2] for m in matches] == [(kind, v)]
+        new = matches[0][2]
+        assert new != v and text == f"x {new}, y"
+        if kind != "date":
+            assert re.sub(r"[0-9a-z]", "9", new) == re.sub(r"[0-9a-z]", "9", v)
+        if kind == "card":
+            assert luhn(re.sub(r"\D", "", new))
+
+
+def test_one_value_in_several_formats(spark):
+    found = done(spark, ["4539578763621486", "4539 5787 6362 1486", "+1 (555) 123-4567", "+15551234567", "2001-12-31", "31/12/2001", "2001-12-31T10:00"])
+    digits = [re.sub(r"\D", "", found[k][0]) for k in range(4)]
+    assert digits[0] == digits[1] and digits[2] == digits[3]
+    assert date.fromisoformat(found[4][0]).strftime("%d/%m/%Y") == found[5][0]
+    assert found[6][0] == found[4][0] + "T10:00" != "2001-12-31T10:00"
