@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own, local, only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        found = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from slateql.sources.shared import shared_folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,49 +1,48 @@
 """Line dedup: pairwise alignment of documents that share rare lines.
 
-A line's hash meets all its occurrences once. The first document that holds a
-line (least id) is the earlier partner of every later document with that line,
-so pairs grow with the occurrences of a line, not with their square, and no
-occurrence is left out. A later document then has, for each of its shared
-lines, one partner and the line's places there; everything it needs for the
-alignment is in its own rows.
-
-A passage of several lines may have another first holder than its lines. Where lines
-stay unaligned, the shortest windows of ``min_words`` or more words that hold them are
-looked up in all documents, and the document is aligned again with the first holders of whole
-windows as further partners. Windows cover every run of that many words, so a run
-common with any earlier document is found, in two passes and without pairs of all holders.
-A passage between whose lines every earlier holder has further lines is no window: it
-goes only where the first holders of its lines have them in order.
-
-Alignment is a patience diff of the later document against each partner: lines
-that occur once in both (rare lines) are anchors, the longest increasing run of
-anchors is kept, and matches grow from the anchors through equal neighbours. The
-gaps between are aligned alike, by lines unique in the gap; a gap without any gets a plain
-diff. Then come passages that moved: runs of ``min_words`` or more words that are
-adjacent in both documents, longest first, and at last the alignment is repeated on
-the lines left of the pair until it gives no block of that size. An earlier place serves
-one later place, so of a passage that the later document repeats as many go as the
-earlier one holds. Aligned lines of all partners together form blocks of
-adjacent lines; a block of at least ``min_words`` words is deleted from the later document.
-
-Lines without words are no lines here: only the others are numbered, and blank
-lines inside a deleted block go with it. Lines are compared as they are, by 128
-bits of two hashes and the length.
+A document is the sequence of its lines with words; a common block of two
+documents is a run of lines, adjacent in both, of ``min_words`` words or more.
+A block goes from the later document, the one of the larger id. Lines that lie in
+blocks with several earlier documents go as well, but no block is made of lines
+that stand together in no earlier document.
+
+Pairs. A line is rare if it occurs at most ``RARE`` times in all documents; every
+later holder of a rare line is paired with all earlier ones, at most ``RARE`` - 1. Blocks of
+common lines alone are found by windows: the shortest runs of ``min_words`` or
+more words from each line on and up to each line, which depend on the lines alone and cover
+every longer run. Every later holder of a window is paired with its first holder. So
+the pairs grow with the lines, not with the square of a group of copies, and
+yet every line in a block with any earlier document is in a block with a paired one.
+
+Alignment. Each pair is aligned by a patience diff over all its common lines: lines that
+occur once in both are anchors, the longest increasing run of anchors is kept,
+matches grow from them through equal neighbours, and the gaps between are aligned alike by
+lines unique in the gap. Blocks that a diff leaves out, because they moved, repeat or
+overlap others, are then looked up by their windows. This takes n log n of the lines,
+repeated ones included.
+
+Lines are compared as they are, by 128 bits of two hashes. Blank lines inside a deleted run go with it.
+
+Scale. One scan reduces every text to hashes; lines are counted with partial
+aggregation; a document's shared lines are gathered by document, and a pair's task holds two
+of these. Joins by line, window or partner are plain sort-merge joins or broadcasts of a checked size, so
+adaptive execution splits a hot key. The texts themselves are read again only to cut them, and
+not shuffled unless the cuts are too many to broadcast.
 
 Defined cases: null text stays null, and an empty text empty. Repeated rows of an
 id and a text are one document and are all cut alike; rows that share an id but
 not the text are not compared with each other. A null id takes no part and its
-text stays. The kept lines are joined by line ends; a document may become empty.
-An empty table stays empty.
+text stays. Ids are integers (or cast to them). The kept lines are joined by line ends; a document may become
+empty. Whole texts count, whatever their length. An empty table stays empty. Further columns
+are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
-from heapq import heappop, heappush
 from itertools import pairwise
 from struct import pack
 
@@ -54,20 +53,53 @@ from pyspark.sql import functions as F
 from slateql.llm.exprs import BLANKS, words
 from slateql.llm.graph import checkpointed
 
-#: Up to so many distinct shared lines are broadcast to find their occurrences; more are joined by a shuffle.
-MAX_BROADCAST_LINES = 200_000
-LINE = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
-CUTS = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("h", pa.int64()),
-        ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-        ("wanted", pa.list_(pa.struct([("key", pa.binary()), ("lines", pa.list_(LINE))]))),
-    ]
-)
-CUTS_DDL = "doc_id bigint, h bigint, blocks array<struct<first:int,last:int>>, wanted array<struct<key:binary,lines:array<struct<h1:bigint,h2:bigint>>>>"
-HELD = pa.schema([("key", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64())])
-HELD_DDL = "key binary, doc_id bigint, h bigint"
+#: A line of at most so many occurrences pairs all its holders; more frequent ones pair by windows.
+RARE = 4
+#: Shared lines, windows and cut blocks up to so many are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
+#: Gaps are aligned to this depth; what lies deeper is left to the windows.
+LEVELS = 16
+
+Key = tuple[int, int]
+
+
+def spans(sizes: Sequence[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest windows of ``least`` or more words from each place on and up to each place."""
+    found = set()
+    start, n = 0, 0
+    for end, size in enumerate(sizes):
+        n += size
+        while n - sizes[start] >= least:
+            n -= sizes[start]
+            start += 1
+        if n >= least:
+            found.add((start, end))
+    end, n = len(sizes) - 1, 0
+    for start in reversed(range(len(sizes))):
+        n += sizes[start]
+        while n - sizes[end] >= least:
+            n -= sizes[end]
+            end -= 1
+        if n >= least:
+            found.add((start, end))
+    return sorted(found)
+
+
+def runs(places: Sequence[int], wanted=None) -> Iterator[tuple[int, int]]:
+    """(from, to) of the stretches of adjacent sorted places, those that are ``wanted`` at an index if given."""
+    start = None
+    for i, p in enumerate(places):
+        if wanted is not None and not wanted(i):
+            if start is not None:
+                yield start, i
+            start = None
+        elif start is None:
+            start = i
+        elif p != places[i - 1] + 1:
+            yield start, i
+            start = i
+    if start is not None:
+        yield start, len(places)
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,190 +120,88 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _diff(ks: list[int], places: dict[int, list[int]]) -> list[tuple[int, int]]:
-    """A plain diff: the longest common subsequence of the later places ``ks`` and their places in the earlier document."""
-    if len({places[k][0] for k in ks}) == 1 and all(len(places[k]) == len(places[ks[0]]) for k in ks):  # one line only
-        return list(zip(ks, sorted(places[ks[0]])))
-    tails, ends = [], []
-    for k in ks:
-        for e in sorted(places[k], reverse=True):
-            i = bisect_left(tails, e)
-            link = (k, e, ends[i - 1] if i else None)
-            if i == len(tails):
-                tails.append(e)
-                ends.append(link)
-            else:
-                tails[i], ends[i] = e, link
-    out, link = [], ends[-1] if ends else None
-    while link:
-        out.append(link[:2])
-        link = link[2]
-    return out[::-1]
+def patience(later: dict[int, Key], earlier: dict[int, Key], levels: int = LEVELS) -> dict[int, int]:
+    """Later places -> earlier places of equal lines, both increasing; the arguments map sorted places to lines."""
+    ours, theirs = defaultdict(list), defaultdict(list)
+    for k, x in later.items():
+        ours[x].append(k)
+    for e, x in earlier.items():
+        theirs[x].append(e)
+    places = [k for k, x in later.items() if x in theirs]
+    end_k, end_e = max(later, default=-1) + 1, max(earlier, default=-1) + 1
+    aligned: dict[int, int] = {}
+    gaps = [(-1, end_k, -1, end_e, 0)]
 
+    def only(at: list[int], low: int, high: int) -> int | None:
+        i = bisect_right(at, low)
+        return at[i] if i < len(at) and at[i] < high and (i + 1 == len(at) or at[i + 1] >= high) else None
 
-def _patience(shared: dict[int, list[int]], once: set[int] | None = None) -> dict[int, int]:
-    """A patience diff, repeated in the gaps between what it aligned; a gap without unique lines gets a plain diff."""
-    aligned: dict[int, int] = {}
-    taken: set[int] = set()
-    gaps = [(sorted(shared), shared, once)]
     while gaps:
-        ks, places, unique = gaps.pop()
-        if unique is None:  # equal lines have equal places
-            seen = Counter(shared[k][0] for k in ks)
-            unique = {k for k in ks if seen[shared[k][0]] == 1}
-        anchors = _increasing([(k, places[k][0]) for k in ks if len(places[k]) == 1 and k in unique])
+        k0, k1, e0, e1, level = gaps.pop()
+        inside = places[bisect_right(places, k0) : bisect_left(places, k1)]
+        anchors = []
+        for k in inside:
+            if only(ours[later[k]], k0, k1) is not None:
+                e = only(theirs[later[k]], e0, e1)
+                if e is not None:
+                    anchors.append((k, e))
+        anchors = _increasing(anchors)
         if not anchors:
-            found = dict(_diff(ks, places))
-            aligned.update(found)
-            taken.update(found.values())
             continue
-        found = dict(anchors)
-        taken.update(found.values())
-        for step in (1, -1):
-            for k, e in anchors:
-                k, e = k + step, e + step
-                while k in places and k not in found and e in places[k] and e not in taken:
-                    found[k] = e
-                    taken.add(e)
-                    k, e = k + step, e + step
-        aligned.update(found)
-        bounds = [(-1, -1), *sorted(found.items()), (float("inf"), float("inf"))]
-        at = 0
-        for (k0, e0), (k1, e1) in pairwise(bounds):
-            inside = {}
-            while at < len(ks) and ks[at] < k1:
-                if ks[at] > k0:
-                    free = [e for e in places[ks[at]] if e0 < e < e1]
-                    if free:
-                        inside[ks[at]] = free
-                at += 1
-            if inside:
-                gaps.append((list(inside), inside, None))
+        aligned.update(anchors)
+        for (a, b), (c, d) in pairwise([(k0, e0), *anchors, (k1, e1)]):
+            grow = lambda k, e: a < k < c and b < e < d and k in later and later[k] == earlier.get(e)  # noqa: B023, E731
+            while a > k0 and grow(a + 1, b + 1):
+                a, b = a + 1, b + 1
+                aligned[a] = b
+            while c < k1 and grow(c - 1, d - 1):
+                c, d = c - 1, d - 1
+                aligned[c] = d
+            if c - a > 1 and d - b > 1 and level + 1 < levels:
+                gaps.append((a, c, b, d, level + 1))
     return aligned
 
 
-def _runs(places: Iterable[int]) -> list[list[int]]:
-    """Adjacent places together; ``places`` are sorted."""
-    out: list[list[int]] = []
-    for k in places:
-        if out and k == out[-1][-1] + 1:
-            out[-1].append(k)
-        else:
-            out.append([k])
-    return out
-
+def common_blocks(later: dict[int, Key], earlier: dict[int, Key], sizes: dict[Key, int], min_words: int) -> list[tuple[int, int, int]]:
+    """(first, last, first in the earlier one) of common blocks that cover every run of ``min_words`` words, adjacent in both.
 
-def _tiles(shared: dict[int, list[int]], aligned: dict[int, int], sizes: dict[int, int], min_words: int) -> dict[int, int]:
-    """Runs of ``min_words`` or more words, adjacent in both documents, that hold a line not aligned yet: longest first.
-
-    An earlier place serves one later place; those of aligned blocks of that size are taken.
+    The arguments map sorted places to lines, ``sizes`` lines to words. Blocks may overlap.
     """
-    enough = lambda run: sum(sizes[k] for k in run) >= min_words
-    owner = {aligned[k]: k for run in _runs(sorted(aligned)) if enough(run) for k in run}
-    waiting: list[tuple[int, int, int, int]] = []
-
-    def propose(k: int, e: int, n: int) -> None:
-        run = range(k, k + n)
-        if enough(run) and any(x not in aligned for x in run):
-            heappush(waiting, (-sum(sizes[x] for x in run), k, e, n))
-
-    for run in _runs(sorted(shared)):
-        if not enough(run) or all(k in aligned for k in run):
-            continue
-        before: dict[int, int] = {}
-        for k in [*run, None]:
-            here = {e: before.get(e - 1, 0) + 1 for e in shared[k]} if k is not None else {}
-            for e, n in before.items():
-                if e + 1 not in here:
-                    last = run[-1] if k is None else k - 1
-                    propose(last - n + 1, e - n + 1, n)
-            before = here
-    out: dict[int, int] = {}
-    while waiting:
-        _, k, e, n = heappop(waiting)
-        free = [x for x in range(n) if owner.get(e + x, k + x) == k + x]
-        if len(free) < n:
-            for part in _runs(free):
-                propose(k + part[0], e + part[0], len(part))
-        elif any(k + x not in aligned and k + x not in out for x in free):
-            out.update({k + x: e + x for x in free})
-            owner.update({e + x: k + x for x in free})
+    known = set(earlier.values())
+    ours = [k for k, x in later.items() if x in known]
+    wide = [(i, j) for i, j in runs(ours) if sum(sizes[later[k]] for k in ours[i:j]) >= min_words]
+    if not wide:
+        return []
+    out, covered = [], set()
+    near = {k: later[k] for i, j in wide for k in ours[i:j]}
+    aligned = patience(near, earlier)
+    at = sorted(aligned)
+    start = 0
+    for i in range(1, len(at) + 1):
+        if i == len(at) or at[i] != at[i - 1] + 1 or aligned[at[i]] != aligned[at[i - 1]] + 1:
+            if sum(sizes[later[k]] for k in at[start:i]) >= min_words:
+                out.append((at[start], at[i - 1], aligned[at[start]]))
+                covered.update(at[start:i])
+            start = i
+    if len(covered) == len(near):
+        return out
+    held = set(near.values())
+    theirs, first = [e for e, x in earlier.items() if x in held], {}
+    for i, j in runs(theirs):
+        lines = [earlier[e] for e in theirs[i:j]]
+        for s, t in spans([sizes[x] for x in lines], min_words):
+            first.setdefault(tuple(lines[s : t + 1]), theirs[i + s])
+    for i, j in wide:
+        lines = [later[k] for k in ours[i:j]]
+        for s, t in spans([sizes[x] for x in lines], min_words):
+            places = ours[i + s : i + t + 1]
+            e = None if covered.issuperset(places) else first.get(tuple(lines[s : t + 1]))
+            if e is not None:
+                out.append((places[0], places[-1], e))
+                covered.update(places)
     return out
 
 
-def align(shared: dict[int, list[int]], once: set[int], sizes: dict[int, int] | None = None, min_words: int = 0) -> list[int]:
-    """Aligned places of the later document.
-
-    ``shared``: its place -> the line's places in the earlier one; ``once``: its places of lines that occur once in it.
-    With ``sizes``, the words of its places, blocks of ``min_words`` or more that moved or repeat are aligned as well.
-    """
-    aligned = _patience(shared, once)
-    if sizes is None:
-        return sorted(aligned)
-    aligned |= _tiles(shared, aligned, sizes, min_words)
-    while True:
-        taken = set(aligned.values())
-        left = {k: [e for e in es if e not in taken] for k, es in shared.items() if k not in aligned}
-        left = {k: es for k, es in left.items() if es}
-        if sum(sizes[k] for k in left) < min_words:
-            return sorted(aligned)
-        more = _patience(left)
-        blocks = [run for run in _runs(sorted(more)) if sum(sizes[k] for k in run) >= min_words]
-        if not blocks:
-            return sorted(aligned)
-        aligned |= {k: more[k] for run in blocks for k in run}
-
-
-def _windows(hashes: dict[int, tuple[int, int]], sizes: dict[int, int], min_words: int) -> Iterator[tuple[bytes, list[int]]]:
-    """(key, places) of the shortest windows of ``min_words`` or more words from each place on and up to each place.
-
-    They depend on the lines alone, and together cover every run of adjacent places of that many words.
-    """
-    for run in _runs(sorted(hashes)):
-        spans = set()
-        start, n = 0, 0
-        for end in range(len(run)):  # shortest up to ``end``
-            n += sizes[run[end]]
-            while n - sizes[run[start]] >= min_words:
-                n -= sizes[run[start]]
-                start += 1
-            if n >= min_words:
-                spans.add((start, end))
-        end, n = len(run) - 1, 0
-        for start in reversed(range(len(run))):  # shortest from ``start`` on
-            n += sizes[run[start]]
-            while n - sizes[run[end]] >= min_words:
-                n -= sizes[run[end]]
-                end -= 1
-            if n >= min_words:
-                spans.add((start, end))
-        for start, end in sorted(spans):
-            places = run[start : end + 1]
-            yield blake2b(b"".join(pack("<qq", *hashes[k]) for k in places), digest_size=16).digest(), places
-
-
-def _blocks(lines: list[dict], min_words: int) -> tuple[list[dict], list[dict]]:
-    """The blocks to delete in one later document, as first and last places of its text's lines, and the windows left.
-
-    A window is left if it holds a line that was not aligned; windows of one line met their first holder already.
-    """
-    sizes, raw, hashes, once = {}, {}, {}, set()
-    by_partner: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(dict)
-    for line in lines:
-        for place in line["places"]:
-            sizes[place["no"]], raw[place["no"]] = line["n_words"], place["raw"]
-            hashes[place["no"]] = line["h1"], line["h2"]
-            by_partner[line["partner"], line["partner_h"]][place["no"]] = line["partner_places"]
-        if len(line["places"]) == 1:
-            once.add(line["places"][0]["no"])
-    aligned = {k for shared in by_partner.values() for k in align(shared, once, sizes, min_words)}
-    blocks = [{"first": raw[run[0]], "last": raw[run[-1]]} for run in _runs(sorted(aligned)) if sum(sizes[k] for k in run) >= min_words]
-    if len(aligned) == len(sizes):
-        return blocks, []
-    left = {key: places for key, places in _windows(hashes, sizes, min_words) if len(places) > 1 and not aligned.issuperset(places)}
-    return blocks, [{"key": key, "lines": [{"h1": hashes[k][0], "h2": hashes[k][1]} for k in places]} for key, places in left.items()]
-
-
 def _n_words(line: Column) -> Column:
     """Lines of words between single spaces, the usual ones, are counted without a regular expression."""
     gaps = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
@@ -279,92 +209,152 @@ def _n_words(line: Column) -> Column:
     return F.when(single, gaps + 1).otherwise(F.size(words(line)))
 
 
-def shared_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row per line of a later document that an earlier one holds, with its first holder and the places there;
-    and one row per document and line that several documents hold: h1, h2, partner, doc_id, h, n_words, places."""
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def shared_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """One row per text (doc_id, h) with lines that other documents hold: no, raw, n, h1, h2, rare, by place.
+
+    ``no`` counts the text's lines with words, ``raw`` all of its lines; ``n`` are a line's words.
+    """
     raw = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("raw")))
     worded = F.filter(raw, lambda x: F.length(F.translate(x["line"], BLANKS, "")) > 0)
-    split = docs.select("doc_id", "h", F.posexplode(worded).alias("no", "at"))
-    line = F.col("at.line")
-    second = F.shiftleft(F.hash(line).cast("bigint"), 32) + F.length(line)
-    lines = split.select("doc_id", "h", F.xxhash64(line).alias("h1"), second.alias("h2"), F.struct("no", "at.raw").alias("place"), _n_words(line).alias("n_words"))
-    ends = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"))
-    partners = checkpointed(ends.where("partner < last").select("h1", "h2", "partner"))
-    known = F.broadcast(partners) if partners.count() <= MAX_BROADCAST_LINES else partners
-    by_document = lines.join(known, ["h1", "h2"]).groupBy("h1", "h2", "partner", "doc_id", "h")
-    shared = checkpointed(by_document.agg(F.min("n_words").alias("n_words"), F.sort_array(F.collect_set("place")).alias("places")))
-    held = F.min(F.struct("h", F.col("places.no").alias("places"))).alias("held")  # one text of the partner's
-    places = shared.where("doc_id = partner").groupBy("h1", "h2").agg(held)
-    later = shared.where("doc_id > partner").join(places, ["h1", "h2"])
-    return later.select("doc_id", "h", "h1", "h2", "places", "n_words", "partner", F.col("held.h").alias("partner_h"), F.col("held.places").alias("partner_places")), shared
-
-
-def _window_lines(first: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
-    """The rows of ``shared_lines`` that pair the windows left with the first document that holds them whole."""
+    second = lambda line: F.shiftleft(F.hash(line).cast("bigint"), 32) + F.length(line)
+    hashed = F.transform(worded, lambda x: F.struct(F.xxhash64(x["line"]).alias("h1"), second(x["line"]).alias("h2"), _n_words(x["line"]).alias("n"), x["raw"].alias("raw")))
+    texts = checkpointed(docs.select("doc_id", "h", hashed.alias("lines")))
+    lines = texts.select("doc_id", "h", F.posexplode("lines").alias("no", "x")).select("doc_id", "h", "no", "x.raw", "x.n", "x.h1", "x.h2")
+    counted = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c"))
+    known = checkpointed(counted.where("lo < hi").select("h1", "h2", (F.col("c") <= RARE).alias("rare")))
+    held = lines.join(_small(known), ["h1", "h2"]).groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("no", "raw", "n", "h1", "h2", "rare"))).alias("x"), F.sum("n").alias("words"))
+    return checkpointed(held.where(F.col("words") >= min_words).select("doc_id", "h", *[F.col(f"x.{c}").alias(c) for c in ("no", "raw", "n", "h1", "h2", "rare")]))
+
+
+_KEYS = pa.schema([("rare", pa.bool_()), ("key", pa.binary()), ("doc_id", pa.int64()), ("h", pa.int64())])
+
+
+def _keys(min_words: int):
+    """Texts with shared lines -> the rare lines and the windows of common lines by which they meet others."""
+
+    def of(nos: list, ns: list, keys: list, rares: list) -> Iterator[tuple[bool, bytes]]:
+        for i, j in runs(nos):
+            if sum(ns[i:j]) < min_words:
+                continue
+            yield from ((True, pack("<qq", *keys[k])) for k in range(i, j) if rares[k])
+            for a, b in runs(nos[i:j], lambda k: not rares[i + k]):  # noqa: B023
+                for s, t in spans(ns[i + a : i + b], min_words):
+                    yield False, blake2b(b"".join(pack("<qq", *x) for x in keys[i + a + s : i + a + t + 1]), digest_size=16).digest()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc_id, h, lines in zip(*(c.to_pylist() for c in batch.columns)):
-                at = {k: line for line in lines for k in line["places"]}
-                keys = {key for key, _ in _windows({k: (x["h1"], x["h2"]) for k, x in at.items()}, {k: x["n_words"] for k, x in at.items()}, min_words)}
-                out += [{"key": key, "doc_id": doc_id, "h": h} for key in sorted(keys)]
-            yield pa.RecordBatch.from_pylist(out, schema=HELD)
-
-    wanted = first.select("doc_id", "h", F.explode("wanted").alias("w")).select("doc_id", "h", "w.key", "w.lines")
-    lines = wanted.select(F.explode("lines").alias("x")).select("x.h1", "x.h2").distinct()
-    by_document = shared.join(lines, ["h1", "h2"], "left_semi").groupBy("doc_id", "h")
-    holders = by_document.agg(F.collect_list(F.struct("h1", "h2", "n_words", F.col("places.no").alias("places"))).alias("lines")).mapInArrow(emit, HELD_DDL)
-    keys = wanted.select("key").distinct()
-    least = holders.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("holder"))
-    pairs = wanted.join(least, "key").where("holder.doc_id < doc_id").select("doc_id", "h", F.col("holder.doc_id").alias("partner"), F.col("holder.h").alias("partner_h"), F.explode("lines").alias("x"))
-    pairs = pairs.select("doc_id", "h", "partner", "partner_h", "x.h1", "x.h2").distinct()
-    own = shared.select("h1", "h2", "doc_id", "h", "places", "n_words")
-    there = shared.select("h1", "h2", F.col("doc_id").alias("partner"), F.col("h").alias("partner_h"), F.col("places.no").alias("partner_places"))
-    met = pairs.join(own, ["doc_id", "h", "h1", "h2"]).join(there, ["partner", "partner_h", "h1", "h2"])
-    return met.select("doc_id", "h", "h1", "h2", "places", "n_words", "partner", "partner_h", "partner_places")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                out: list[list] = [[], [], [], []]
+                for doc_id, h, no, n, h1, h2, rare in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
+                    for is_rare, key in sorted(set(of(no, n, list(zip(h1, h2)), rare))):
+                        for column, v in zip(out, (is_rare, key, doc_id, h)):
+                            column.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _KEYS)], schema=_KEYS)
+
+    return emit
+
+
+def document_pairs(shared: DataFrame, min_words: int) -> DataFrame:
+    """Distinct (doc_id, h, partner, partner_h): a later text and an earlier one to align it with."""
+    keys = checkpointed(shared.select("doc_id", "h", "no", "n", "h1", "h2", "rare").mapInArrow(_keys(min_words), "rare boolean, key binary, doc_id bigint, h bigint"))
+    holders = keys.where("rare").groupBy("key").agg(F.collect_set(F.struct("doc_id", "h")).alias("x"))  # at most RARE each
+    later = F.transform("x", lambda a: F.transform(F.filter("x", lambda e: e["doc_id"] < a["doc_id"]), lambda e: F.struct(a.alias("a"), e.alias("e"))))
+    rare = holders.select(F.explode(F.flatten(later)).alias("p")).select("p.a.doc_id", "p.a.h", F.col("p.e.doc_id").alias("partner"), F.col("p.e.h").alias("partner_h"))
+    windows = keys.where("NOT rare").select("key", "doc_id", "h")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("e"), F.max("doc_id").alias("hi")).where("e.doc_id < hi")
+    first = checkpointed(first.select("key", F.col("e.doc_id").alias("partner"), F.col("e.h").alias("partner_h")))
+    common = windows.join(_small(first), "key").where("partner < doc_id").select("doc_id", "h", "partner", "partner_h")
+    return checkpointed(rare.union(common).distinct())
+
+
+_CUTS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("h", pa.int64()),
+        ("blocks", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+        ("aligned", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("partner", pa.int64()), ("partner_first", pa.int32())]))),
+    ]
+)
+_CUTS_DDL = "doc_id bigint, h bigint, blocks array<struct<first:int,last:int>>, aligned array<struct<first:int,last:int,partner:bigint,partner_first:int>>"
 
 
-def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, h, blocks): what to delete, for documents that lose any line; ``h`` is ``xxhash64`` of the text."""
-    docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    lines, shared = shared_lines(docs)
+def _aligned(min_words: int):
+    """Rows sorted by text, its own (without partner) first, then its partners' -> what to cut from it."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_blocks(lines.as_py(), min_words) for lines in batch.column(2)]
-            blocks, wanted = [b for b, _ in found], [w for _, w in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, CUTS.field(2).type), pa.array(wanted, CUTS.field(3).type)], schema=CUTS)
-
-    def aligned(lines: DataFrame) -> DataFrame:
-        gathered = lines.groupBy("doc_id", "h").agg(
-            F.sum(F.col("n_words") * F.size("places")).alias("n_words"),
-            F.collect_list(F.struct("h1", "h2", "places", "n_words", "partner", "partner_h", "partner_places")).alias("lines"),
-        )
-        return gathered.where(F.col("n_words") >= min_words).select("doc_id", "h", "lines").mapInArrow(emit, CUTS_DDL)
-
-    first = checkpointed(aligned(lines).where((F.size("blocks") > 0) | (F.size("wanted") > 0)))
-    cuts = first.select("doc_id", "h", "blocks")
-    if not first.where(F.size("wanted") > 0).isEmpty():
-        more = checkpointed(_window_lines(first, shared, min_words))
-        again = more.select("doc_id", "h").distinct()
-        second = aligned(lines.join(again, ["doc_id", "h"], "left_semi").unionByName(more)).select("doc_id", "h", "blocks")
-        cuts = cuts.join(again, ["doc_id", "h"], "left_anti").unionByName(second)
-    return cuts.where(F.size("blocks") > 0)
+        at = own = raw = sizes = wide = None
+        covered: set[int] = set()
+        blocks: list[dict] = []
+        done: list[tuple] = []
+
+        def end() -> None:
+            if covered:
+                places = sorted(covered)
+                cut = [{"first": raw[places[i]], "last": raw[places[j - 1]]} for i, j in runs(places)]
+                done.append((*at, cut, list(blocks)))
+            covered.clear()
+            blocks.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f.type) for k, f in enumerate(_CUTS)], schema=_CUTS)
+            done.clear()
+            return out
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                for doc_id, h, partner, no, its_raw, n, h1, h2 in zip(*(c.to_pylist() for c in whole.slice(start, 64).columns)):
+                    lines = dict(zip(no, zip(h1, h2)))
+                    if partner is None:
+                        if at is not None:
+                            end()
+                        at, own, raw, sizes = (doc_id, h), lines, dict(zip(no, its_raw)), dict(zip(lines.values(), n))
+                        wide = {no[k] for i, j in runs(no) if sum(n[i:j]) >= min_words for k in range(i, j)}
+                    elif not covered.issuperset(wide):
+                        for first, last, there in common_blocks(own, lines, sizes, min_words):
+                            covered.update(range(first, last + 1))
+                            blocks.append({"first": raw[first], "last": raw[last], "partner": partner, "partner_first": its_raw[bisect_left(no, there)]})
+                if len(done) > 1000:
+                    yield flush()
+        if at is not None:
+            end()
+        yield flush()
+
+    return emit
+
+
+def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, h, blocks, aligned: what to cut, for documents that lose any line; ``h`` is ``xxhash64`` of the text.
+
+    ``blocks`` are first and last lines of the stretches to delete; ``aligned`` are the blocks they are made of,
+    each with an earlier document and its first line there.
+    """
+    docs = df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    shared = shared_lines(docs, min_words)
+    pairs = document_pairs(shared, min_words)
+    lines = ("no", "raw", "n", "h1", "h2")
+    own = shared.join(pairs.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").select("doc_id", "h", F.lit(None).cast("bigint").alias("partner"), F.lit(None).cast("bigint").alias("partner_h"), *lines)
+    there = pairs.join(shared.select(F.col("doc_id").alias("partner"), F.col("h").alias("partner_h"), *lines), ["partner", "partner_h"]).select(*own.columns)
+    dealt = own.union(there).repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", F.col("partner").asc_nulls_first(), "partner_h")
+    return dealt.drop("partner_h").mapInArrow(_aligned(min_words), _CUTS_DDL)
 
 
 def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with the blocks of ``cuts`` deleted from its texts; the same rows and columns, and ``__n_cut_lines``."""
-    inside = lambda i: F.exists("__blocks", lambda b: i.between(b["first"], b["last"]))
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~inside(i))
-    n_cut = F.aggregate("__blocks", F.lit(0), lambda n, b: n + b["last"] - b["first"] + 1)
-    marked = df.withColumn("__h", F.xxhash64(text)).join(
-        cuts.select(F.col("doc_id").alias("__id"), F.col("h").alias("__ch"), F.col("blocks").alias("__blocks")),
-        (F.col(doc_id) == F.col("__id")) & (F.col("__h") == F.col("__ch")),
-        "left",
-    )
-    some = F.col("__blocks").isNotNull()
+    cuts = checkpointed(cuts.select(F.col("doc_id").alias("__cut_id"), F.col("h").alias("__cut_h"), F.col("blocks").alias("__cut_blocks")))
+    n_blocks = cuts.agg(F.sum(F.size("__cut_blocks"))).first()[0] or 0
+    cuts = F.broadcast(cuts) if n_blocks <= MAX_BROADCAST else cuts
+    row = df.select(F.struct("*").alias("__cut_row"), F.col(doc_id).cast("bigint").alias("__cut_own"), F.xxhash64(text).alias("__cut_own_h"))
+    marked = row.join(cuts, (F.col("__cut_own") == F.col("__cut_id")) & (F.col("__cut_own_h") == F.col("__cut_h")), "left")
+    old, some = F.col("__cut_row")[text], F.col("__cut_blocks").isNotNull()
+    inside = lambda i: F.exists("__cut_blocks", lambda b: i.between(b["first"], b["last"]))
+    kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~inside(i)), "\n")
+    n_cut = F.aggregate("__cut_blocks", F.lit(0), lambda n, b: n + b["last"] - b["first"] + 1)
     return marked.select(
-        *[F.when(some, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in df.columns],
+        *[F.when(some, kept).otherwise(old).alias(c) if c == text else F.col("__cut_row")[c].alias(c) for c in df.columns],
         F.when(some, n_cut).otherwise(F.lit(0)).alias("__n_cut_lines"),
     )

@@ -1,111 +1,123 @@
 import random
+import time
 
-from slateql.llm.linededup import align, cut_lines, line_cuts
+import pytest
+from slateql.llm import linededup
+from slateql.llm.linededup import common_blocks, cut_lines, line_cuts, patience
 
 
-def cut(spark, rows, min_words=6):
-    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, blocks int, h string")
+def cut(spark, rows, min_words=6, parts=3):
+    df = spark.createDataFrame([(i, t, 1, "z", 5) for i, t in rows], "doc_id long, text string, blocks int, h string, __cut_id int").repartition(parts)
     return [(r.doc_id, r.text, r["__n_cut_lines"]) for r in cut_lines(df, line_cuts(df, min_words)).orderBy("doc_id", "text").collect()]
 
 
-def test_align():
-    assert align({0: [5], 1: [6], 2: [7]}, {0, 1, 2}) == [0, 1, 2]
-    assert align({0: [9], 1: [2], 2: [3]}, {0, 1, 2}) == [1, 2]  # a moved line is not aligned
-    assert align({0: [1, 4], 1: [2], 2: [3, 8]}, {1}) == [0, 1, 2]  # repeated neighbours grow from the anchor
-    assert align({0: [3, 5], 4: [1, 7]}, set()) == [0, 4]
-    assert align({}, set()) == []
-
-
-def test_shared_block_goes_from_the_later_document(spark):
+def brute(rows, min_words):
+    """Every pair of an earlier and a later document, every pair of places: lines in runs common to both go."""
+    out = []
+    for doc, text in rows:
+        own = text.split("\n")
+        ours = [k for k, x in enumerate(own) if x.split()]
+        gone = set()
+        for earlier, other in rows:
+            if earlier >= doc:
+                continue
+            theirs = [x for x in other.split("\n") if x.split()]
+            for a in range(len(ours)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while a + n < len(ours) and b + n < len(theirs) and own[ours[a + n]] == theirs[b + n]:
+                        n += 1
+                    if sum(len(own[k].split()) for k in ours[a : a + n]) >= min_words:
+                        gone.update(range(a, a + n))
+        cut_out = set()
+        for k in gone:
+            cut_out.update(range(ours[k], (ours[k + 1] if k + 1 in gone else ours[k] + 1)))
+        out.append((doc, "\n".join(x for k, x in enumerate(own) if k not in cut_out), len(cut_out)))
+    return out
+
+
+@pytest.mark.parametrize("rare", [1, 4])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, monkeypatch, seed, rare):
+    """Unsorted documents of repeated, blank and shared lines, some of them copies or collages of others."""
+    monkeypatch.setattr(linededup, "RARE", rare)
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice("abcdefg") + str(k) for _ in range(rng.randrange(1, 5))) for k in range(25)] + ["", " \t"]
+    rows = []
+    for i in range(60):
+        own = [rng.choice(lines) for _ in range(rng.randrange(0, 14))]
+        for _ in range(rng.randrange(3)):
+            if rows:
+                other = rng.choice(rows)[1].split("\n")
+                at = rng.randrange(len(other))
+                place = rng.randrange(len(own) + 1)
+                own[place:place] = other[at : at + rng.randrange(1, 9)]
+        rows.append((i * 3, "\n".join(own)))
+    assert cut(spark, rows, 9) == brute(rows, 9)
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_groups_of_copies(spark, monkeypatch, limit):
+    """Passages in many documents: as many pairs as windows, and nothing lost, broadcast or not."""
+    monkeypatch.setattr(linededup, "MAX_BROADCAST", limit)
+    rng = random.Random(4)
+    passages = ["\n".join(f"p{p} line {k} of it" for k in range(4)) for p in range(3)]
+    rows = [(i, "\n".join([f"own {i}", *rng.sample(passages, rng.randrange(1, 4)), f"end {i} x"])) for i in range(80)]
+    assert cut(spark, rows, 12) == brute(rows, 12)
+    docs = spark.createDataFrame([(i, hash(t) % 1000, t) for i, t in rows], "doc_id long, h long, text string")
+    assert linededup.document_pairs(linededup.shared_lines(docs, 12), 12).count() <= 80 * 13
+
+
+def test_a_line_that_an_earlier_document_repeats(spark):
+    a, b, c, f = ("ten words " * 5 + x for x in "abcf")
+    rows = [(1, "\n".join([f, b, "x x", b])), (2, "\n".join(["own", a, b, c])), (3, "\n".join([f, "y", a, b, c]))]
+    assert cut(spark, rows, 25)[2] == (3, "\n".join([f, "y"]), 3)
+
+
+def test_lines_of_several_documents_are_no_block(spark):
+    a, b, c = ("eight words or so stand in line " + x for x in "abc")
+    rows = [(1, a), (2, b), (3, c), (4, "\n".join([a, b, c]))]
+    assert cut(spark, rows, 20) == [(i, t, 0) for i, t in rows]
+
+
+def test_hot_line_and_very_long_texts(spark):
+    hot = "licence line of words"
+    rows = [(i, f"{hot}\nown text {i}\n{hot}") for i in range(300)]
+    assert cut(spark, rows, 8) == [(i, t, 0) for i, t in rows]
+    long = "\n".join(f"line {k % 7000} and {k}" for k in range(40_000))
+    rows = [(1, long), (2, "start\n" + long), (3, "\n".join([hot] * 100_000)), (4, "\n".join([hot] * 100_001))]
+    began = time.time()
+    assert [(i, len(t), n) for i, t, n in cut(spark, rows, 25)] == [(1, len(long), 0), (2, 5, 40_000), (3, len(rows[2][1]), 0), (4, 0, 100_001)]
+    assert time.time() - began < 60
+
+
+def test_one_repeated_line_is_not_quadratic():
+    x = (1, 2)
+    began = time.time()
+    assert common_blocks(dict.fromkeys(range(50_000), x), dict.fromkeys(range(60_000), x), {x: 4}, 25)
+    assert time.time() - began < 5
+
+
+def test_patience():
+    lines = lambda text: dict(enumerate((ord(c), 0) for c in text))
+    assert patience(lines("abc"), lines("xabcy")) == {0: 1, 1: 2, 2: 3}
+    assert patience(lines("apbpc"), lines("apcpb")) == {0: 0, 1: 1, 4: 2}  # b or c, one of them moved
+    assert patience(lines("axbxc"), lines("axxbc")) == {0: 0, 1: 1, 2: 3, 4: 4}
+    assert patience(lines("aaa"), lines("aa")) == {}
+    assert patience({}, lines("a")) == {}
+
+
+def test_aligned_blocks_name_the_place_in_the_earlier_document(spark):
     block = "one two three\nfour five six seven"
-    rows = [(1, f"own words here\n{block}"), (2, f"{block}\nother things"), (3, "short line\nown stuff"), (4, "short line\nmore"), (9, block)]
-    assert cut(spark, rows) == [(1, rows[0][1], 0), (2, "other things", 2), (3, rows[2][1], 0), (4, rows[3][1], 0), (9, "", 2)]
-
-
-def test_partners_join_into_one_block(spark):
-    rows = [(1, "a b c d"), (2, "e f g h"), (3, "x\na b c d\n\ne f g h\ny")]
-    assert cut(spark, rows)[2] == (3, "x\ny", 3)
+    df = spark.createDataFrame([(1, f"\nown words here\n{block}"), (2, f"x\n\n{block}\nother things")], "doc_id long, text string")
+    (found,) = line_cuts(df, 6).collect()
+    assert [b.asDict() for b in found.blocks] == [{"first": 2, "last": 3}]
+    assert [b.asDict() for b in found.aligned] == [{"first": 2, "last": 3, "partner": 1, "partner_first": 2}]
 
 
 def test_defined_cases(spark):
     long = "w1 w2 w3 w4 w5 w6 w7"
     rows = [(1, None), (2, ""), (3, long), (3, long), (None, long), (4, "\n\n"), (5, long), (6, f"{long}\n{long}\n{long}")]
-    assert cut(spark, rows) == [(None, long, 0), (1, None, 0), (2, "", 0), (3, long, 0), (3, long, 0), (4, "\n\n", 0), (5, "", 1), (6, f"{long}\n{long}", 1)]
+    assert cut(spark, rows) == [(None, long, 0), (1, None, 0), (2, "", 0), (3, long, 0), (3, long, 0), (4, "\n\n", 0), (5, "", 1), (6, "", 3)]
+    assert cut(spark, [(3, long), (3, f"{long}\n{long}"), (4, f"x\n{long}")]) == [(3, long, 0), (3, f"{long}\n{long}", 0), (4, "x", 1)]
     assert cut(spark, []) == []
-
-
-def test_against_brute_force(spark):
-    """Where every line is unique in its document and order agrees, a line goes if an earlier document has it and its run is long enough."""
-    rng = random.Random(8)
-    lines = [f"line {k} has words" for k in range(60)]
-    rows = [(i, "\n".join(sorted(rng.sample(lines, rng.randrange(1, 12)), key=lines.index))) for i in range(40)]
-    seen, wanted = set(), []
-    for i, t in rows:
-        own, flags, keep = t.split("\n"), [], []
-        flags = [x in seen for x in own]
-        k = 0
-        while k < len(own):
-            j = k
-            while j < len(own) and flags[j]:
-                j += 1
-            if j > k and 4 * (j - k) < 12:
-                keep += own[k:j]
-            if j < len(own) and not flags[j]:
-                keep.append(own[j])
-            k = j + 1 if j < len(own) else j
-        wanted.append((i, "\n".join(keep)))
-        seen.update(own)
-    assert [(i, t) for i, t, _ in cut(spark, rows, 12)] == wanted
-
-
-def test_gaps_between_anchors_are_aligned():
-    assert len(align({0: [0], 2: [0], 4: [2]}, {4})) == 2  # one of a passage that stands twice, and the anchor
-    assert align({0: [0], 2: [1, 3], 3: [2], 4: [1, 3], 6: [5]}, {0, 3, 6}) == [0, 2, 3, 4, 6]
-    assert align({0: [0], 2: [2, 4], 4: [2, 4], 6: [6]}, {0, 6}) == [0, 2, 4, 6]  # a plain diff in the gap
-
-
-def test_moved_passages_are_aligned():
-    words = dict.fromkeys(range(8), 5)
-    assert align({0: [2], 1: [3], 2: [0], 3: [1]}, {0, 1, 2, 3}, words, 10) == [0, 1, 2, 3]
-    assert align({0: [2], 1: [3], 2: [0], 3: [9]}, {0, 1, 2, 3}, words, 10) == [0, 1, 3]  # a single moved line is too short
-    assert align({0: [4], 1: [6], 2: [8], 4: [0], 5: [2]}, {0, 1, 2, 4, 5}, words, 10) == [0, 1, 2, 4, 5]  # lines between them in the earlier one
-
-
-def test_swapped_and_repeated_passages_go(spark):
-    p, q, r = "one two three\nfour five six", "red green blue\nblack white grey", "same licence line"
-    rows = [(1, f"{p}\nmiddle\n{q}"), (2, f"{q}\nelse\n{p}"), (3, f"up\n{r}\nso\nsix of them now\nand more of that"), (4, f"{r}\na\nsix of them now\nand more of that\nb\nsix of them now\nand more of that")]
-    found = cut(spark, rows)
-    assert found[1] == (2, "else", 4)
-    assert found[3][1].count("six of them now") == 1 and found[3][2] == 2
-
-
-def test_passage_whose_lines_have_another_first_holder(spark):
-    lines = [f"line {k} of the passage" for k in range(5)]
-    tail = "ends"
-    rows = [(1, "\n".join(reversed([*lines, tail]))), (2, "\n".join(["b", *lines, tail])), (3, "\n".join(["c", *lines, tail, "own"])), (4, "\n".join(["d", *lines[1:4], "mine"]))]
-    found = cut(spark, rows, 15)
-    assert found[1] == (2, rows[1][1], 0)  # nobody before has it in this order
-    assert found[2] == (3, "c\nown", 6)
-    assert found[3] == (4, "d\nmine", 3)
-
-
-def test_every_common_run_goes(spark):
-    """Distinct lines in any order: a run of three or more that any earlier document holds is cut."""
-    rng = random.Random(5)
-    lines = [f"line {k} has words" for k in range(12)]
-    rows = []
-    for i in range(30):
-        own = rng.sample(lines, 12)
-        if rows:
-            other = rng.choice(rows)[1].split("\n")
-            at = rng.randrange(8)
-            run = other[at : at + rng.randrange(3, 6)]
-            own = [x for x in own if x not in run]
-            own[4:4] = run
-        rows.append((i, "\n".join(own)))
-    for k, (i, text, _) in enumerate(cut(spark, rows, 12)):
-        assert i == k
-        own, kept = rows[k][1].split("\n"), set(text.split("\n"))
-        for at in range(len(own) - 2):
-            if any("\n".join(own[at : at + 3]) + "\n" in earlier + "\n" for _, earlier in rows[:k]):
-                assert not kept & set(own[at : at + 3])
