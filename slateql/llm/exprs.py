@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
@@ -12,6 +12,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` behind as many underscores, two or more, as make it no column of ``df``."""
+    name = f"__{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``v`` bound to ``value``, which is evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -137,9 +137,9 @@ FROM s
 @_query
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
     mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT)
-    return mixed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__within").alias("within"), F.col("__slot").alias("slot"), F.col("__release").alias("release"), F.col("__deadline").alias("deadline"))
+    return mixed.select("doc_id", "source", *[F.col(f"__mixed.{c}").alias(c) for c in ("block", "within", "slot", "release", "deadline")])
 
 
 # --- 4: packing
