@@ -17,13 +17,12 @@ Further columns of ``docs`` are kept. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateql.llm import linededup, mixing, packing, settings, survivors, toxicity
-from slateql.llm.graph import shared_folder
+from slateql.llm.exprs import fresh
+from slateql.sources.shared import new_folder, remove
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +43,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT)
-    return mixed.repartitionByRange("__slot", "__within").sortWithinPartitions("__slot", "__within").select(*docs.columns)
+    name = fresh(docs, "mixed")
+    mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT, name=name)
+    place = [f"{name}.slot", f"{name}.within"]
+    return mixed.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,10 +67,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is kept in the cluster's shared checkpoint folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.
+
+    A stage's result lies in the cluster's shared folder until the next one is written; the last, which the
+    DataFrame returned reads, until ``slateql.sources.shared.remove_folders`` is called.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = new_folder(spark, f"pipeline_{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return docs
