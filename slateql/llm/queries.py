@@ -25,18 +25,19 @@ def _query(f):
 
 TEMPLATE = chat.ChatTemplate()
 PROBE = "</s>[INST] ok [/INST]"
-_DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+_DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean, reason string"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per conversation, read back from its segments, which come in order and within one partition."""
     names = [c.split()[0] for c in _DIGESTS.split(", ")]
-    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in _DIGESTS.split(", ")]
+    kinds = [{"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in _DIGESTS.split(", ")]
     began, conv, state, done = False, None, None, []
 
     def end():
-        n, turns, loss_chars, loss, chars = state
-        done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+        n, turns, loss_chars, loss, chars, reason, last = state
+        reason = reason or (None if last in TEMPLATE.final else f"ends after {last}")
+        done.append((conv, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, reason is None, reason))
 
     def flush():
         out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(kinds)], names=names)
@@ -44,16 +45,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for batch in batches:
-        for c, segments in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for c, segments, entered, reason in zip(*(x.to_pylist() for x in batch.columns)):
             if not began or c != conv:
                 if began:
                     end()
-                began, conv, state = True, c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                began, conv, state = True, c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, None, None]
             head, body, _ = segments
             text = TEMPLATE.unescaped(body["text"])
             state[0] += 1
             state[1].update(f"{TEMPLATE.parse_open(head['text'])}\n{text}\n".encode())
             state[4] += sum(len(s["text"]) for s in segments)
+            state[5], state[6] = state[5] or reason, entered
             for s in segments:
                 if s["loss"]:
                     plain = TEMPLATE.unescaped(s["text"])
@@ -71,7 +73,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
     formatted = chat.format_conversations(turns.unionByName(probe), TEMPLATE)
-    return formatted.select("conv_id", "segments").mapInArrow(_digest, _DIGESTS)
+    return formatted.select("conv_id", "segments", "state", "reason").mapInArrow(_digest, _DIGESTS)
 
 
 def _escaped_sql(text: str) -> str:
@@ -82,16 +84,26 @@ def _escaped_sql(text: str) -> str:
 
 
 _OPEN = len(TEMPLATE.open_mark.format(role=""))
+_ENTERED = " ".join(f"WHEN role = '{r}' THEN '{to}'" for r, to in TEMPLATE.enters.items())
+_IN_ORDER = " OR ".join(f"(state = '{a}' AND entered = '{b}')" for a, to in TEMPLATE.order.items() for b in to)
+_LOSS = " OR ".join(f"entered = '{x}'" for x in TEMPLATE.loss)
 ORACLE_SQL["op1_chat"] = f"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}')
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum({_OPEN + len(TEMPLATE.close_mark)} + length({_escaped_sql('role')}) + length({_escaped_sql('text')}))::BIGINT AS formatted_chars
-FROM turns GROUP BY conv_id
+  UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+n AS (SELECT *, CASE {_ENTERED} ELSE '{chat.UNKNOWN}' END AS entered, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM turns),
+s AS (SELECT *, coalesce(lag(entered) OVER (PARTITION BY conv_id ORDER BY k), '{TEMPLATE.start}') AS state FROM n),
+r AS (SELECT *, CASE WHEN {_IN_ORDER} THEN NULL ELSE CASE WHEN role = '' THEN 'no role' ELSE role END || ' after ' || state END AS why FROM s),
+c AS (SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER ({_LOSS}), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER ({_LOSS}), '')) AS loss_sha256,
+  sum({_OPEN + len(TEMPLATE.close_mark)} + length({_escaped_sql('role')}) + length({_escaped_sql('text')}))::BIGINT AS formatted_chars,
+  arg_min(why, k) FILTER (why IS NOT NULL) AS why, arg_max(entered, k) AS last FROM r GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
+  why IS NULL AND last IN ({", ".join(f"'{x}'" for x in TEMPLATE.final)}) AS valid,
+  coalesce(why, CASE WHEN last NOT IN ({", ".join(f"'{x}'" for x in TEMPLATE.final)}) THEN 'ends after ' || last END) AS reason
+FROM c
 """
 
 

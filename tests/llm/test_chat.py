@@ -40,9 +40,9 @@ def test_states_nulls_ties_and_clashing_columns(spark):
     found = formatted(spark, rows)
     assert [r.valid for r in found[1]] == [True] * 3
     assert [[(s.text, s.loss) for s in r.segments][1] for r in found[1]] == [("", False), ("a", False), ("b<\\/s>", True)]
-    assert [(r.valid, r.reason) for r in found[2]] == [(False, "assistant after start"), (False, "after an invalid turn")]
+    assert [(r.valid, r.reason) for r in found[2]] == [(False, "assistant after start"), (True, None)]
     assert [r.valid for r in found[3]] == [True, False]
-    assert [r.reason for r in found[None]] == ["no role after start", "after an invalid turn"]
+    assert [r.reason for r in found[None]] == ["no role after start", "tool after unknown"]
 
 
 def test_empty(spark):
@@ -55,3 +55,16 @@ def test_long_conversation_keeps_its_order(spark):
     assert all(r.valid for r in found)
     text = "".join(T.unescaped(s.text) for r in found for s in r.segments if s.loss)
     assert hashlib.sha256(text.encode()).hexdigest() == hashlib.sha256("".join(f"t{k}" for k in range(1, 12_000, 2)).encode()).hexdigest()
+
+
+def test_loss_follows_the_state_entered(spark):
+    template = ChatTemplate(enters={"user": "ask", "model": "answer", "assistant": "answer"}, loss=("answer",), order={"start": ("ask",), "ask": ("answer",)})
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "model", "a"), (1, 2, "assistant", "b"), (1, 3, "tool", "c")], "conv_id long, turn long, role string, text string")
+    found = format_conversations(df, template).collect()
+    assert [(r.state, r.segments[1].loss, r.reason) for r in found] == [("ask", False, None), ("answer", True, None), ("answer", True, "assistant after answer"), ("unknown", False, "tool after answer")]
+
+
+def test_very_long_text(spark):
+    text = "</s> word " * 300_000
+    (found,) = formatted(spark, [(1, 0, "user", text, 0, "")])[1]
+    assert T.unescaped(found.segments[1].text) == text and "</s>" not in found.segments[1].text
