@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def kept_as(keep: Iterable[str], taken: Iterable[str]) -> list[Column]:
+    """The columns __k0, __k1, ... under their names in ``keep``; one that is ``taken``, whatever its case, as ``input_...``."""
+    used = {c.lower() for c in taken}
+    return [F.col(f"__k{i}").alias(f"input_{c}" if c.lower() in used else c) for i, c in enumerate(keep)]
+
+
 def let(value: Column, body) -> Column:
     """``body(v)`` with ``v`` bound to ``value``, which is evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)

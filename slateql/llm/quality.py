@@ -5,9 +5,13 @@ bounds, and ``judge`` turns a table of rules into boolean columns. Everything
 is a column expression over the row, so there is no shuffle, and a long text
 costs n log n for its repeated word windows.
 
+Windows of words are equal if their 64-bit hashes are: in a text of n windows some two different ones
+are taken for equal with probability n^2 / 2^65, 3e-8 for a million words.
+
 Defined cases: null and empty texts have no words and every statistic 0;
 ratios of nothing are 0. Such texts fail the base rule. Repeated rows are
-judged one by one.
+judged one by one, whole texts whatever their length. An empty table gives no rows. A ``keep`` column named like
+a column of the result is returned as ``input_...``; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slateql.llm.exprs import BLANKS, indices, let, words
+from slateql.llm.exprs import BLANKS, indices, kept_as, let, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -30,6 +34,11 @@ STOP_WORDS = tuple(
 )
 
 
+def _at(statistic: str) -> Column:
+    """A statistic, under its name between the projections."""
+    return F.col(f"__s_{statistic}")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A statistic has to lie within [least, most]."""
@@ -40,7 +49,7 @@ class Rule:
     most: float | None = None
 
     def passes(self) -> Column:
-        value, ok = F.col(self.statistic), F.lit(True)
+        value, ok = _at(self.statistic), F.lit(True)
         if self.least is not None:
             ok = ok & (value >= self.least)
         if self.most is not None:
@@ -74,12 +83,12 @@ def _covered(ws: Column) -> Column:
     return let(F.sort_array(hashed), twice)
 
 
-def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and the statistics of each row's text."""
+def _measured(df: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """__k0, ..., the kept columns, and __s_..., the statistics of each row's text."""
     t = F.coalesce(F.col("__t"), F.lit(""))
-    got = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text).alias("__t")).withColumn("__w", words(F.col("__t")))
+    keys = [f"__k{i}" for i in range(len(keep))]
+    got = df.select(*[F.col(c).alias(k) for k, c in zip(keys, keep)], F.col(text).alias("__t")).withColumn("__w", words(F.col("__t")))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     n = {
         "n_words": F.size("__w"),
         "word_chars": F.length(F.translate(t, BLANKS, "")),
@@ -90,24 +99,37 @@ def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
         "n_marks": F.length(t) - F.length(F.translate(t, "!|", "")),
         "n_stop_words": F.size(F.filter(F.col("__w"), lambda w: F.lower(w).isin(*STOP_WORDS))),
     }
-    counted = got.select(*[f"__k{i}" for i in range(len(keep))], *[v.cast("bigint").alias(k) for k, v in n.items()])
-    return counted.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
-        *n,
-        ratio("word_chars", "n_words").alias("mean_word_chars"),
-        ratio("n_symbols", "n_words").alias("symbol_ratio"),
-        ratio("n_marks", "n_words").alias("mark_ratio"),
-        ratio("n_stop_words", "n_words").alias("stop_ratio"),
-        ratio("n_dup_lines", "n_lines").alias("dup_line_ratio"),
-    )
+    counted = got.select(*keys, *[v.cast("bigint").alias(f"__s_{k}") for k, v in n.items()])
+    ratio = lambda a, b: F.when(_at(b) > 0, _at(a) / _at(b)).otherwise(F.lit(0.0))
+    return counted.select("*", *[ratio(*of).alias(f"__s_{name}") for name, of in RATIOS.items()])
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks", "n_stop_words")
+#: ratio -> what is divided by what
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words"),
+    "mark_ratio": ("n_marks", "n_words"),
+    "stop_ratio": ("n_stop_words", "n_words"),
+    "dup_line_ratio": ("n_dup_lines", "n_lines"),
+}
+
+
+STATISTICS = (*COUNTS, *RATIOS)
+
+
+def measure(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and the statistics of each row's text."""
+    return _measured(df, text, keep).select(*kept_as(keep, STATISTICS), *[_at(s).alias(s) for s in STATISTICS])
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (_at("n_words") < 50) | (100 * _at("n_repeat_words") > 50 * _at("n_words"))
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``measure``'s columns, base_failed, the names of the failed rules, and kept."""
     failed = F.filter(F.array(*[F.when(~r.passes(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    out = measure(df, text, keep)
-    return out.withColumns({"base_failed": base_failed(), "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    verdict = _measured(df, text, keep).withColumns({"__base": base_failed(), "__failed": failed})
+    last = {"base_failed": F.col("__base"), "failed_rules": F.col("__failed"), "kept": ~F.col("__base") & (F.size("__failed") == 0)}
+    return verdict.select(*kept_as(keep, (*STATISTICS, *last)), *[_at(s).alias(s) for s in STATISTICS], *[v.alias(k) for k, v in last.items()])

@@ -39,3 +39,11 @@ def test_no_user_functions(spark):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, True, "x")] * 2, "doc_id long, text string, n_words int, KEPT boolean, __s string")
+    found = quality.judge(df, keep=("doc_id", "n_words", "KEPT", "__s", "text")).collect()
+    assert len(found) == 2 and found[0] == found[1]
+    assert (found[0].input_n_words, found[0].input_KEPT, found[0]["__s"], found[0].n_words, found[0].kept) == (5, True, "x", 3, False)
+    assert quality.measure(df, keep=("n_words",)).columns[:2] == ["input_n_words", "n_words"]
