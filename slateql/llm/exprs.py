@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +23,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def hashable(t: T.DataType) -> bool:
+    """Whether ``xxhash64`` takes a type: one that holds no map and no variant."""
+    if isinstance(t, T.ArrayType):
+        return hashable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(hashable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
 def kept_as(keep: Iterable[str], taken: Iterable[str]) -> list[Column]:
     """The columns __k0, __k1, ... under their names in ``keep``; one that is ``taken``, whatever its case, as ``input_...``."""
     used = {c.lower() for c in taken}

@@ -43,7 +43,8 @@ from math import gcd, lcm
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from slateql.llm.exprs import hashable
 
 MAX_SOURCES = 1_000
 #: Slots that are simulated at a time.
@@ -198,15 +199,6 @@ def _by_epochs(blocks: DataFrame, phases: list[Phase]) -> DataFrame:
     return blocks.join(slots, ["group", "block"]).select(*blocks.columns, "slot", "release", "deadline")
 
 
-def _plain(t: T.DataType) -> bool:
-    """Whether a type holds no map, which cannot be hashed."""
-    if isinstance(t, T.ArrayType):
-        return _plain(t.elementType)
-    if isinstance(t, T.StructType):
-        return all(_plain(f.dataType) for f in t.fields)
-    return not isinstance(t, (T.MapType, T.VariantType))
-
-
 def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_rows: int = 16, bucket_rows: int = 8_192, source: str = "source", key: str = "doc_id", name: str = "__mixed", longest: int = LONGEST) -> DataFrame:
     """``df`` and ``name``, a struct of source (null: other), block, within, slot, release and deadline; (slot, within) order the mixture."""
     if name in df.columns:
@@ -214,7 +206,7 @@ def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_r
     spark, sources = df.sparkSession, list(weights)
     whole = exact_weights([*weights.values(), other])
     group = F.coalesce(*[F.when(F.col(source) == s, F.lit(k)) for k, s in enumerate(sources)], F.lit(len(sources)))
-    digest = F.xxhash64(*[c for c in df.columns if _plain(df.schema[c].dataType)])
+    digest = F.xxhash64(*[c for c in df.columns if hashable(df.schema[c].dataType)])
     grouped = df.select(F.struct("*").alias("row"), group.alias("group"), digest.alias("h"))
     counts = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()}
     buckets = spark.createDataFrame([(g, max(1, n // bucket_rows)) for g, n in counts.items()], "group int, buckets bigint")

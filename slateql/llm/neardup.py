@@ -26,7 +26,9 @@ they are small enough or ``max_depth`` is reached, where they are compared as th
 
 Defined cases: empty and null texts have the empty set, are linked with nothing
 and are kept. Rows that share an id are one document: it is linked if any of its
-texts is. A null id is never linked; its component is null and it is kept.
+texts is. A null id is never linked; its component is null and it is kept. Ids are integers (or cast to
+them). Only the id and the text are read, so other columns may have any names. Texts
+count whole, whatever their length. An empty table gives no rows.
 An empty table gives an empty result.
 """
 
@@ -309,13 +311,13 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 _MOST_PRODUCTS = 2e10
 
 
-def _full_compare(width: int, percent: int):
-    """Rows of a node with their texts, sorted by node -> a spanning forest of the links between components."""
+def _full_compare(percent: int):
+    """Rows of a node with their sets, sorted by node -> a spanning forest of the links between components."""
 
-    def links_of(g: dict, cache: WordHashes) -> list[tuple[int, int]]:
+    def links_of(g: dict) -> list[tuple[int, int]]:
         places: dict[int, int] = {}
         comp = [places.setdefault(c, len(places)) for c in g["comp"].tolist()]
-        sets = [shingle_set(t, cache, width) for t in g["text"]]
+        sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
         n = np.array(list(map(len, sets)))
         joined, at_once = _Sets(len(places)), len(sets) ** 2 * float(n.sum()) / 2 <= _MOST_PRODUCTS
         if at_once:
@@ -332,15 +334,44 @@ def _full_compare(width: int, percent: int):
         return links
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_process("word hashes", WordHashes)
         for g, _ in _groups(batches, None):
-            links = links_of(g, cache)
+            links = links_of(g)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     return emit
 
 
+def _shingled(width: int):
+    """(rep, text) -> (rep, shingles): the set as sorted little-endian 64-bit hashes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = per_process("word hashes", WordHashes)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t.as_py(), cache, width).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return emit
+
+
+def _in_parts(rows: DataFrame, weight: Column, bound: int) -> DataFrame:
+    """``rows`` with each node of more than twice ``bound`` in nodes of two parts each; any two of its rows meet in one of them.
+
+    A part weighs about ``bound``; rows are dealt to parts by a hash, and a row goes to as many nodes as there are other parts.
+    """
+    parts = checkpointed(rows.groupBy("node").agg(F.ceil(F.sum(weight) / bound).cast("int").alias("__parts")).where("__parts > 2"))
+    if parts.isEmpty():
+        return rows
+    marked = rows.join(F.broadcast(parts) if parts.count() <= MAX_BROADCAST_IDS else parts, "node", "left")
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("__parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("__parts") - 1), lambda k: k != own)
+    met = marked.select("*", own.alias("__own"), F.explode(F.when(F.col("__parts").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("__other"))
+    node = F.when(F.col("__parts").isNull(), F.col("node")).otherwise(F.xxhash64("node", F.least("__own", "__other"), F.greatest("__own", "__other")))
+    return met.select(*[node.alias(c) if c == "node" else F.col(c) for c in rows.columns])
+
+
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents of the distinct ``id``s."""
     ids = checkpointed(ids)
@@ -379,7 +410,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return ordered.mapInArrow(emit, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, small: int = 24, block: int = 2_048, max_depth: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, small: int = 24, block: int = 2_048, max_depth: int = 12, held: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -403,13 +434,16 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int
         if rows.isEmpty():
             break
         children = _branch(rows, similarity, [*_NODE[1:], "sig"])
-        rows = checkpointed(_by_node(children, "sig").mapInArrow(_level(similarity, block if depth < max_depth else None), _LEVEL_DDL))
+        last = depth == max_depth
+        children = _in_parts(children, F.lit(1), block) if last else children
+        rows = checkpointed(_by_node(children, "sig").mapInArrow(_level(similarity, None if last else block), _LEVEL_DDL))
         active.append(rows.where(F.col("kind") == ACTIVE).select(*_NODE))
     rest = checkpointed(reduce(DataFrame.union, active))
     if not rest.isEmpty():
         texts = _texts(docs, rest.select(F.col("rep").alias("id")).distinct())
-        whole = rest.join(texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")), "rep")
-        links = links.union(_by_node(whole, "text").mapInArrow(_full_compare(width, percent), "a bigint, b bigint"))
+        sets = texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(_shingled(width), "rep bigint, shingles binary")
+        whole = _in_parts(rest, F.col("n"), held).join(sets, "rep")
+        links = links.union(_by_node(whole, "shingles").mapInArrow(_full_compare(percent), "a bigint, b bigint"))
         joined = checkpointed(components(links))
 
     placed = reps.select("h1", "h2", "n", "rep").join(joined, F.col("rep") == F.col("id"), "left").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("n").alias("__n"), F.coalesce("component", "rep").alias("component_id"))

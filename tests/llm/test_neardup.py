@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from slateql.llm.graph import components
-from slateql.llm.neardup import near_duplicates
+from slateql.llm.neardup import _in_parts, near_duplicates
 from slateql.llm.survivors import drop_near_duplicates
 
 
@@ -57,6 +59,67 @@ def test_against_brute_force(spark, small, block):
     assert found(spark, rows, percent=85, small=small, block=block) == brute(rows, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_on_whole_documents(spark, percent):
+    """Every link among the test documents, by an exact join, is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    sets, holders, common = {i: shingles(t) for i, t in rows}, {}, Counter()
+    for i in sorted(sets):
+        for g in sets[i]:
+            common.update((j, i) for j in holders.get(g, ()))
+            holders.setdefault(g, []).append(i)
+    up = {i: i for i in sets}
+    find = lambda i: i if up[i] == i else find(up[i])
+    links = 0
+    for (i, j), n in common.items():
+        if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            up[b] = a
+            links += 1
+    assert links > 20
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, percent).collect()} == {i: find(i) for i in sets}
+
+
+def test_large_nodes_at_the_last_level_are_cut_into_parts(spark):
+    """Long documents that share most of their text without being near duplicates stay in one node to the last level."""
+    rng = random.Random(6)
+    shared = [f"s{k}" for k in range(700)]
+    rows = []
+    for k in range(40):
+        own = [f"d{k}x{i}" for i in range(170)]
+        rows.append(" ".join(shared + own))
+        if k % 4 == 0:
+            rows.append(" ".join(shared + own[:160] + ["z"] * 3))
+    rows += ["word " * 50_000 + " ".join(f"tail{i}" for i in range(n)) for n in (100, 101)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    wanted = brute(rows, 80)
+    assert found(spark, rows, percent=80, small=3, block=5, max_depth=2, held=2_000) == wanted
+    assert 30 < sum(k for *_, k in wanted.values()) < len(rows)
+
+
+def test_parts_meet_pairwise(spark):
+    rows = spark.createDataFrame([(n, r, 1) for n, size in ((1, 50), (2, 3), (3, 21)) for r in range(size)], "node long, rep long, n int")
+    met, groups = set(), {}
+    for r in _in_parts(rows, F.col("n"), 10).collect():
+        groups.setdefault(r.node, []).append(r.rep)
+    for g in groups.values():
+        met |= {(a, b) for a in g for b in g if a < b}
+    assert met >= {(a, b) for b in range(50) for a in range(b)}
+    assert max(map(len, groups.values())) < 45 and sorted(groups[2]) == [0, 1, 2]
+
+
+def test_rows_of_one_id_with_different_texts_are_not_lost(spark):
+    rows = [(2, "x one two three four five six", 1), (2, "y totally other words are here", 2), (2, "y totally other words are here", 2), (3, "Y totally other words are here", 3), (1, None, 4), (1, "", 5), (4, "lone words of a document stay", 6), (None, "a", 7), (None, "a", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __own int").selectExpr("*", "map('k', doc_id) AS gone")
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns
+    found = sorted(r["__own"] for r in left.collect())
+    assert found in ([1, 3, 4, 6, 7, 7], [1, 3, 5, 6, 7, 7])
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "A b"), (5, "a\tB"), (6, "a b c"), (7, "x " * 30_000), (8, "X " * 29_999)]
     got = found(spark, rows, percent=80)
