@@ -6,20 +6,21 @@ dates) and then permuted within its format:
 
 * card numbers, unbroken or in groups (4-4-4-4, 4-6-4, 4-6-5): all digits but the last are permuted, the last is the new check digit;
 * telephone numbers: the digits behind ``+`` and the country code, or ten digits as 555-123-4567, 555.123.4567 or (555) 123-4567;
+  of North American numbers the first digits of area and exchange stay within 2-9 (or, not valid there, within 0-1);
 * IPv4 addresses: four numbers below 256;
 * dates (2001-12-31, 31.12.2001, 12/31/2001, also 1.2.2001, 1/2/2001 and before a time, 2001-12-31T10:00) from 1900-01-01 on:
   the day's number among 270 * 271 days, up to 2100-05-02; with slashes the month comes first, or second where that is no date;
 * e-mail addresses: letters and digits of the local part, each within its class;
-* hexadecimal secrets of 32 to 128 digits: digits within 0-9a-f (or A-F).
+* hexadecimal secrets of 32 to 128 digits: digits within 0-9, letters within a-f or A-F.
 
 A value is a list of digits, each with its own modulus. Its halves are
 alternately shifted by a keyed digest of the other half, ``ROUNDS`` times; the
-moduli never change, so every round is invertible and equal values get equal
-pseudonyms in every document under the same key.
+moduli never change, so every round is invertible: equal values get equal
+pseudonyms in every document under the same key, and different ones of a kind and format different ones.
 
-Defined cases: null stays null, texts without candidates stay as they are.
-What fails its validation stays as it is. Candidates inside longer runs of
-digits, letters or dots are none. Repeated rows are treated one by one.
+Defined cases: null stays null, texts without candidates stay as they are, whole texts are read whatever their length.
+What fails its validation stays as it is, and so does a local part without letters or digits; a value that stays is not reported. Candidates inside longer runs of
+digits, letters or dots are none. Repeated rows are treated one by one. An empty table gives no rows. Columns keep their names; the one more, ``name``, must not be taken.
 """
 
 from __future__ import annotations
@@ -47,15 +48,15 @@ CANDIDATE = "|".join((_EMAIL, _SECRET, _PHONE, _CARD, _IP, _DATE))
 _FIRST, _DAYS_A, _DAYS_B = "1900-01-01", 270, 271
 
 
-def _shift(half: Column, moduli: Column, other: Column, tweak: Column) -> Column:
-    """Each digit plus a byte of the keyed digest of the other half, within its modulus."""
+def _shift(half: Column, moduli: Column, other: Column, tweak: Column, width: int) -> Column:
+    """Each digit plus ``width`` hex digits of the keyed digest of the other half, within its modulus."""
     seen = F.concat(tweak, F.lit("|"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
     digest = F.concat(F.sha2(F.concat(seen, F.lit("|0")), 256), F.sha2(F.concat(seen, F.lit("|1")), 256))
-    return let(digest, lambda d: F.transform(half, lambda v, i: F.pmod(v + F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("int"), F.get(moduli, i))))
+    return let(digest, lambda d: F.transform(half, lambda v, i: F.pmod(v + F.conv(F.substring(d, width * i + 1, F.lit(width)), 16, 10).cast("int"), F.get(moduli, i))))
 
 
-def permuted(values: Column, moduli: Column, kind: str, key: str) -> Column:
-    """A keyed permutation of digit lists (2 to 128 digits) with these moduli."""
+def permuted(values: Column, moduli: Column, kind: str, key: str, width: int = 2) -> Column:
+    """A keyed permutation of digit lists (2 to 256 / ``width`` digits) with these moduli, which are well below 16 ** ``width``."""
 
     def halves(both: Column) -> Column:
         v, m = both["v"], both["m"]
@@ -65,8 +66,8 @@ def permuted(values: Column, moduli: Column, kind: str, key: str) -> Column:
 
         def step(s: Column, i: Column) -> Column:
             tweak = F.concat(F.lit(f"{key}|{kind}|"), F.size(v).cast("string"), F.lit("|"), i.cast("string"))
-            left = F.struct(_shift(s["l"], ml, s["r"], tweak).alias("l"), s["r"].alias("r"))
-            right = F.struct(s["l"].alias("l"), _shift(s["r"], mr, s["l"], tweak).alias("r"))
+            left = F.struct(_shift(s["l"], ml, s["r"], tweak, width).alias("l"), s["r"].alias("r"))
+            right = F.struct(s["l"].alias("l"), _shift(s["r"], mr, s["l"], tweak, width).alias("r"))
             return F.when(i % 2 == 0, left).otherwise(right)
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), parts, step, lambda s: F.concat(s["l"], s["r"]))
@@ -75,16 +76,26 @@ def permuted(values: Column, moduli: Column, kind: str, key: str) -> Column:
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_HEX = ("0123456789abcdef", "0123456789ABCDEF")
+_HEX = ("0123456789", "abcdef", "ABCDEF")
+_LEADING = ("01", "23456789")
 
 
-def _permuted_text(text: Column, kind: str, key: str, classes: tuple[str, ...] = _CLASSES) -> Column:
-    """Characters permuted within their classes; others stay."""
+def _class(c: Column, classes: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(F.position(c, F.lit(a)) > 0, F.lit(a)) for a in classes], c)
+
+
+def _permuted_text(text: Column, kind: str, key: str, classes: tuple[str, ...] = _CLASSES, leading=None) -> Column:
+    """Characters permuted within their classes; others stay. ``leading`` says at which places, from 1, the classes are ``_LEADING``."""
 
     def of(t: Column) -> Column:
-        char = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(1)))
-        alphabet = lambda c: F.coalesce(*[F.when(F.position(c, F.lit(a)) > 0, F.lit(a)) for a in classes], c)
-        placed = F.transform(char, lambda c: F.struct(c.alias("c"), alphabet(c).alias("a")))
+        def place(i: Column) -> Column:
+            def named(c: Column) -> Column:
+                alphabet = _class(c, classes) if leading is None else F.when(leading(i), _class(c, _LEADING)).otherwise(_class(c, classes))
+                return F.struct(c.alias("c"), alphabet.alias("a"))
+
+            return let(F.substring(t, i, F.lit(1)), named)
+
+        placed = F.transform(F.sequence(F.lit(1), F.length(t)), place)
 
         def spelled(p: Column) -> Column:
             values = F.transform(p, lambda x: (F.position(x["c"], x["a"]) - 1).cast("int"))
@@ -94,7 +105,7 @@ def _permuted_text(text: Column, kind: str, key: str, classes: tuple[str, ...] =
         return let(placed, spelled)
 
     def single(t: Column) -> Column:
-        alphabet = F.coalesce(*[F.when(F.position(t, F.lit(a)) > 0, F.lit(a)) for a in classes], t)
+        alphabet = _class(t, classes)
         digest = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|1|"), alphabet), 256), 1, 8), 16, 10).cast("bigint")
         moved = (F.position(t, alphabet) + digest % F.greatest(F.length(alphabet) - 1, F.lit(1))) % F.length(alphabet)
         return F.substring(alphabet, moved.cast("int") + 1, F.lit(1))
@@ -139,7 +150,9 @@ def _phone(m: Column, key: str) -> Column:
 
     def of(c: Column) -> Column:
         rest = F.substring(m, F.length(c) + 1, F.length(m))
-        return let(rest, lambda r: F.concat(c, let(_permuted_text(_digits(r), "phone", key), lambda d: _placed(r, d))))
+        american = (F.length(_digits(rest)) == 10) & ((c == "") | (c == "+1"))
+        leading = lambda i: american & ((i == 1) | (i == 4))
+        return let(rest, lambda r: F.concat(c, let(_permuted_text(_digits(r), "phone", key, leading=leading), lambda d: _placed(r, d))))
 
     return let(code, of)
 
@@ -169,7 +182,7 @@ def _date(m: Column, key: str) -> Column:
 
     def of(x: Column) -> Column:
         pair = F.array(F.floor(x["d"] / _DAYS_B).cast("int"), (x["d"] % _DAYS_B).cast("int"))
-        new = let(permuted(pair, moduli, "date", key), lambda p: F.date_add(F.lit(_FIRST).cast("date"), F.get(p, F.lit(0)) * _DAYS_B + F.get(p, F.lit(1))))
+        new = let(permuted(pair, moduli, "date", key, 4), lambda p: F.date_add(F.lit(_FIRST).cast("date"), F.get(p, F.lit(0)) * _DAYS_B + F.get(p, F.lit(1))))
         spelled = let(new, lambda n: F.coalesce(*[F.when(x["fmt"] == fmt, F.date_format(n, fmt)) for _, fmt in formats]))
         return F.when(x["d"].between(0, _DAYS_A * _DAYS_B - 1), spelled)
 
@@ -177,29 +190,30 @@ def _date(m: Column, key: str) -> Column:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """(kind, new): the pseudonym of a candidate; both null if it is not valid."""
+    """(kind, new): the pseudonym of a candidate; null if it is not valid or stays as it is."""
     local = F.substring_index(m, "@", 1)
-    hexadecimal = F.when(m.rlike("[a-f]"), _permuted_text(m, "secret", key, _HEX[:1])).otherwise(_permuted_text(m, "secret", key, _HEX[1:]))
     new = {
         "email": F.when(m.contains("@"), F.concat(_permuted_text(local, "email", key), F.substring(m, F.length(local) + 1, F.length(m)))),
         "phone": F.when(m.rlike(f"^(?:{_PHONE})$"), _phone(m, key)),
-        "secret": F.when(m.rlike("^[0-9A-Fa-f]{32,}$"), hexadecimal),
+        "secret": F.when(m.rlike("^[0-9A-Fa-f]{32,}$"), _permuted_text(m, "secret", key, _HEX)),
         "card": F.when(m.rlike(f"^(?:{_CARD})$"), _card(m, key)),
         "ip": F.when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), _ip(m, key)),
         "date": F.when(m.rlike(r"^\d+[-./]\d\d?[-./]\d+$"), _date(m, key)),
     }
 
     def named(kind: str, value: Column) -> Column:
-        return let(value, lambda x: F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("new"))))
+        return let(value, lambda x: F.when(x != m, F.struct(F.lit(kind).alias("kind"), x.alias("new"))))
 
     return F.coalesce(*[named(k, v) for k, v in new.items()])
 
 
-def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``df`` with pseudonyms in its text, and __found: an array of (kind, old, new)."""
+def pseudonymize(df: DataFrame, key: str, text: str = "text", name: str = "__found") -> DataFrame:
+    """``df`` with pseudonyms in its text, and ``name``: an array of (kind, old, new)."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"column {name} is there already")
     matches = F.transform(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)), lambda m: let(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), m.alias("old"), p["new"].alias("new"))))
-    found = df.withColumn("__found", F.when(F.col(text).isNotNull(), matches))
+    found = df.withColumn(name, F.when(F.col(text).isNotNull(), matches))
     between = F.split(F.col(text), CANDIDATE, -1)
-    news = F.concat(F.transform("__found", lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
+    news = F.concat(F.transform(name, lambda x: F.coalesce(x["new"], x["old"])), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, news, lambda a, b: F.concat(a, b)), "")
-    return found.withColumn(text, F.when(F.size("__found") > 0, joined).otherwise(F.col(text))).withColumn("__found", F.filter("__found", lambda x: x["kind"].isNotNull()))
+    return found.withColumn(text, F.when(F.size(name) > 0, joined).otherwise(F.col(text))).withColumn(name, F.filter(name, lambda x: x["kind"].isNotNull()))
