@@ -10,7 +10,10 @@ hex digit. Likeness is the share of equal digits m, corrected for chance:
 
 Defined cases: A-Z is lower-cased; fewer than five words are one shingle. Null
 and empty texts, and those without words, have the empty fingerprint ``''``:
-their likeness is 1 to each other and 0 to the rest.
+their likeness is 1 to each other and 0 to the rest. Texts count whole, whatever their length. Rows follow each
+other by id, nulls first, then by the 64-bit hash of the text, then by the text; repeated rows are rows of
+their own. The last row is followed by the first, a single one by itself. An empty table gives no rows. Ids are integers (or cast to them). Only the
+id and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -91,7 +94,10 @@ def fingerprint(text: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two fingerprints, with bias correction."""
     chance = 2.0**-BITS
-    same = F.size(F.filter(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.substring(a, k, F.lit(1)) == F.substring(b, k, F.lit(1))))
+    eight = lambda t, k: F.conv(F.substring(t, 8 * k + 1, F.lit(8)), 16, 10).cast("bigint")
+    ones = lambda d: d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3)).bitwiseAND(F.lit(0x11111111))
+    differ = F.aggregate(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), F.lit(0), lambda n, k: n + let(eight(a, k).bitwiseXOR(eight(b, k)), lambda d: F.bit_count(ones(d))))
+    same = F.lit(BINS) - differ
     found = F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance))
     return F.when((a == "") | (b == ""), F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0))).when(a == b, F.lit(1.0)).otherwise(found)
 
@@ -106,35 +112,60 @@ def _following(values: DataFrame, block: int = 1024) -> DataFrame:
     low, high = values.agg(F.min("v"), F.max("v")).first()
     by = F.expr(f"v div {block}")
     within = values.withColumn("block", by).withColumn("next", F.lead("v").over(Window.partitionBy("block").orderBy("v")))
-    if low is None or int(low / block) == int(high / block):
+    quotient = lambda v: v // block if v >= 0 else -(-v // block)
+    if low is None or quotient(low) == quotient(high):
         return within.select("v", "next")
     heads = values.groupBy(by.alias("block")).agg(F.min("v").alias("head"))
     after = _following(heads.select("block"), block).join(heads.toDF("next", "next_head"), "next", "left").select(F.col("v").alias("block"), "next_head")
     return within.join(after, "block").select("v", F.coalesce("next", "next_head").alias("next"))
 
 
-def with_next(df: DataFrame, key: str, compute, block: int = 256, text: str = "text", max_broadcast: int = 200_000) -> DataFrame:
-    """key, text, ``compute``'s columns, and each of text and those as ``next_...`` of the row that follows by (key, text).
+def _dealt(docs: DataFrame, block: int, most: int, max_broadcast: int) -> DataFrame:
+    """``docs`` with the ordered block numbers __b, __p, __s of their rows: by ``block`` consecutive keys o, each of these by itself
+    where they have more than ``most`` rows, and a key of more than ``most`` rows by the first bits of the texts' hash x."""
+    by = docs.withColumn("__b", F.expr(f"o div {block}"))
+    whole = by.withColumns({"__p": F.lit(0).cast("bigint"), "__s": F.lit(0).cast("bigint")})
+    full = checkpointed(by.groupBy("__b").count().where(F.col("count") > most).select("__b"))
+    if full.isEmpty():
+        return whole
+    small = lambda df: F.broadcast(df) if df.count() <= max_broadcast else df
+    full = small(full)
+    keys = by.join(full, "__b", "left_semi").groupBy("o").count()
+    bits = small(checkpointed(keys.select("o", F.ceil(F.log2(F.col("count") / most)).cast("int").alias("bits")).where("bits > 0")))
+    marked = by.join(full.withColumn("full", F.lit(True)), "__b", "left").join(bits, "o", "left")
+    own = {"__p": F.when(F.col("full"), F.col("o")).otherwise(F.lit(0)), "__s": F.coalesce(F.expr("shiftright(x, 64 - bits)"), F.lit(0).cast("bigint"))}
+    return marked.withColumns(own).drop("full", "bits")
+
+
+def with_next(df: DataFrame, key: str, compute, block: int = 256, most: int = 8_192, text: str = "text", max_broadcast: int = 200_000) -> DataFrame:
+    """key, text, ``compute``'s columns, and each of text and those as ``next_...`` of the row that follows by (key, hash of the text, text).
 
     After the last row comes the first. ``compute`` maps the text column to
     named columns, computed before the one shuffle that deals rows by blocks of
-    ``block`` consecutive keys. The first row of a block is added to the block
-    before it; these first rows are found from the keys alone. A null key comes first.
+    about ``most`` rows at the most, whatever rows a key has; only rows equal in key and text stay together. The first row of a block is added to the block
+    before it; these first rows are found from keys and hashes alone. A null key comes first.
     """
-    ordered = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 62)).cast("bigint"))
-    docs = df.select(F.col(key).cast("bigint").alias("key"), ordered.alias("__o"), F.coalesce(text, F.lit("")).alias("text"))
-    by = F.expr(f"__o div {block}")
-    heads = checkpointed(docs.groupBy(by.alias("block")).agg(F.min("__o").alias("head")))
-    after = _following(heads.select("block"))
-    first = heads.agg(F.min("block")).first()[0]
-    before = after.select(F.coalesce("next", F.lit(first)).alias("block"), F.col("v").alias("to_block")).join(heads, "block").select("head", "to_block")
+    ordered = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+    docs = df.select(F.col(key).cast("bigint").alias("key"), ordered.alias("o"), F.coalesce(text, F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
+    at = ["__b", "__p", "__s"]
+    dealt = _dealt(docs, block, most, max_broadcast)
+    heads = checkpointed(dealt.groupBy(*at).agg(F.min(F.struct("o", "x")).alias("head")))
+    after = _following(heads.select("__b").distinct())
+    first = heads.agg(F.min("__b")).first()[0]
+    start = heads.groupBy(F.col("__b").alias("n_b")).agg(F.min(F.struct("__p", "__s")).alias("n_at"))
+    turn = after.select(F.col("v").alias("__b"), F.coalesce("next", F.lit(first)).alias("n_b")).join(start, "n_b")
+    inside = F.lead(F.struct(F.col("__b").alias("n_b"), F.struct("__p", "__s").alias("n_at"))).over(Window.partitionBy("__b").orderBy("__p", "__s"))
+    follows = heads.select(*at, inside.alias("n")).join(turn, "__b").select(*at, F.coalesce("n", F.struct("n_b", "n_at")).alias("n"))
+    to = follows.select(*[F.col(c).alias(f"to{c}") for c in at], F.col("n.n_b").alias("__b"), F.col("n.n_at.__p").alias("__p"), F.col("n.n_at.__s").alias("__s"))
+    before = to.join(heads, at).select(*[f"to{c}" for c in at], F.col("head.o").alias("o"), F.col("head.x").alias("x"))
     if heads.count() <= max_broadcast:
         before = F.broadcast(before)
     computed = lambda d: d.withColumns(compute(F.col("text")))
     names = ["text", *compute(F.col("text"))]
-    own = computed(docs.withColumn("__block", by).withColumn("__extra", F.lit(0)))
-    extra = computed(docs.join(before, F.col("__o") == F.col("head")).select("key", "__o", "text", F.col("to_block").alias("__block"), F.lit(1).alias("__extra")))
-    window = Window.partitionBy("__block").orderBy("__extra", "__o", "text")
+    own = computed(dealt.withColumn("__extra", F.lit(0)))
+    led_in = docs.join(before, ["o", "x"]).groupBy("o", "x", *[f"to{c}" for c in at]).agg(F.min("text").alias("text"))
+    extra = computed(led_in.select(F.lit(None).cast("bigint").alias("key"), "o", "text", "x", *[F.col(f"to{c}").alias(c) for c in at], F.lit(1).alias("__extra")))
+    window = Window.partitionBy(*at).orderBy("__extra", "o", "x", "text")
     led = own.unionByName(extra).select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in names])
     return led.where("__extra = 0").select("key", *names, *[f"next_{c}" for c in names])
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from slateql.llm import fingerprint as P
@@ -51,6 +52,30 @@ def test_against_brute_force(spark, rows):
     assert found[0].fingerprint == found[1].fingerprint == found[9].fingerprint == ""
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_order_with_hot_ids_and_nulls(spark, limit):
+    """A third of the rows without id, a third of one id: blocks stay small, and every row is followed by the next."""
+    rng = random.Random(3)
+    big = 1 << 62
+    rows = [(None, f"n{k}") for k in range(300)] + [(5, f"five {k % 250}") for k in range(300)] + [(rng.randrange(-900, 900), f"t{k}") for k in range(200)]
+    rows += [(i, f"far {i}") for i in (big, big + 1, big + 300, big + 1023, big + 1024, big + 70_000, -big, -big - 1024, -(1 << 63), (1 << 63) - 1)]
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], signed(r[1]), r[1]))
+    wanted = sorted((str(i), t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = P.with_next(df, "doc_id", lambda t: {"n": F.length(t)}, block=64, most=20, max_broadcast=limit)
+    assert sorted((str(r.key), r.text, r.next_text) for r in found.collect()) == wanted
+    assert sorted((str(r.key), r.text, r.next_text) for r in P.with_next(df, "doc_id", lambda t: {"n": F.length(t)}).collect()) == wanted
+    docs = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("o"), F.xxhash64("text").alias("x"))
+    assert P._dealt(docs, 64, 20, limit).groupBy("__b", "__p", "__s").count().agg(F.max("count")).first()[0] < 80
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(200_000))
+    found = P.fingerprint_edited(spark.createDataFrame([(1, text), (2, text[: len(text) // 2])], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_chars for r in found} == {1: len(text), 2: len(text) // 2} and all(r.near_next > 0.9 for r in found)
+
+
 def test_bias_is_corrected(spark):
     texts = [" ".join(f"{side}{k}" for k in range(400)) for side in "ab"]
     df = spark.createDataFrame([tuple(texts)], "a string, b string")
