@@ -17,8 +17,9 @@ task's end the remainder is cut into powers of two, so no sequence needs
 padding. Row order is kept at the grain of a window.
 
 Defined cases: null text is the empty text, a document of the end id alone; a
-null id is kept as null; repeated rows are packed as often as they occur. An
-empty table gives no pieces.
+null id is kept as null; repeated rows are packed as often as they occur. Whole texts are packed, whatever their length. An
+empty table gives no pieces. Ids are integers (or cast to them); only the id and the text are read, so other columns may have any names.
+Step groups are those of a task: its last one of a tier may be part-filled.
 """
 
 from __future__ import annotations
@@ -85,6 +86,11 @@ class WordIds:
         self.spelling = str.maketrans({c: cut.pre_tokenize_str(c)[0][0] for c in letters if c == c.lower()})
         self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.marks = {m: self._whole(m) for m in ".,"}
+        #: Whether upper case is folded; if not, words with any are left to the tokenizer.
+        self.folds = self._whole("ABÉ") == self._whole("abé")
+        for apart in ("ab cd", "ab\n\tCd. é"):
+            if self._whole(apart) != b"".join(map(self._whole, apart.split())):
+                raise ValueError(f"{path} does not drop white space before it merges")
 
     def _whole(self, word: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
@@ -93,7 +99,7 @@ class WordIds:
         """Letters up to U+00FF need no normalising but folding, and are one piece; a mark behind them is another."""
         mark = self.marks.get(word[-1], b"")
         bare = word[:-1] if mark else word
-        if bare.isalpha() and max(bare) <= "\xff":
+        if bare.isalpha() and max(bare) <= "\xff" and (self.folds or bare == bare.lower()):
             return b"".join([self.packed[t.id] for t in self.model.tokenize(bare.lower().translate(self.spelling))]) + mark
         return self._whole(word)
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from slateql.llm.packing import PackingPlan, WordIds, pack_documents
 
@@ -24,6 +24,23 @@ def test_word_ids_equal_the_tokenizer():
     assert len(words.ids) <= 400
 
 
+def built(tmp_path, fold, cut):
+    model = models.BPE({c: k for k, c in enumerate([chr(k) for k in range(33, 127)] + ["ab", "AB", "cd", "Ġ"])}, [("a", "b"), ("A", "B"), ("c", "d")])
+    made = Tokenizer(model)
+    made.normalizer = normalizers.Lowercase() if fold else None
+    made.pre_tokenizer = cut
+    made.save(str(tmp_path / "t.json"))
+    return str(tmp_path / "t.json"), made
+
+
+def test_cased_tokenizers_and_those_that_keep_spaces(tmp_path):
+    path, made = built(tmp_path, False, pre_tokenizers.Whitespace())
+    assert WordIds(path).encode("AB ab Ab, cd") == np.array(made.encode("AB ab Ab, cd").ids, "<u4").tobytes()
+    path, _ = built(tmp_path, True, pre_tokenizers.ByteLevel(add_prefix_space=False))
+    with pytest.raises(ValueError):
+        WordIds(path)
+
+
 @pytest.mark.parametrize("window", [500, 2_000_000])
 def test_round_trip(spark, window):
     rng = random.Random(4)
