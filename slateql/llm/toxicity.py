@@ -3,8 +3,11 @@
 Kernel. Two words are compared by their common subsequences of three and four
 characters, gaps allowed: a subsequence that spans d characters more than it
 has counts ``DECAY`` ** d, up to ``SPAN`` characters in all, so ``i.d.i.o.t``
-still shares most of ``idiot``. Words carry start and end marks. The sum is
-divided by a norm of each word's length. A sentence is compared with a
+still shares most of ``idiot``. Words carry start and end marks, and three or more single letters in a row,
+as in ``i d i o t``, are one word. The sum is
+divided by a norm of each word's length. The kernel is approximate: subsequences are hashed into 2^20
+cells, where about a tenth of those of four letters a-z share one with another, and other characters than
+a-z go by 35 codes. A sentence is compared with a
 landmark word by the mean over its words (a convolution kernel).
 
 Nyström. Landmarks are training words whose document frequency speaks most
@@ -20,16 +23,18 @@ sentence decisions give the score by a logistic fit on the same training
 documents.
 
 Bound. The fit uses at most ``max_toxic`` + ``max_clean`` labelled documents of at
-most ``max_chars`` characters, taken by the hash of their ids. Scoring covers every whole text.
+most ``max_chars`` characters, taken by the hash of their ids; of an id with several texts one is used. Scoring covers every whole text.
 
 Defined cases: null and empty texts have the statistics 0 and get the score of
-those; repeated rows are scored alike. A label is toxic if any row of the id
+those; repeated rows are scored alike, and long texts whole. An empty table gives no rows. A ``keep`` column named like the score is
+returned as ``input_...``; other columns are not read. A null id is not held out. A label is toxic if any row of the id
 says so; null labels are ignored. Without labels of both classes every score is
 the toxic share of the labels (0 without labels).
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateql.llm.exprs import kept_as
 from slateql.llm.process import per_process
 
 DECAY, SPAN = 0.6, 6
@@ -49,9 +55,16 @@ LONGEST = 40  # longer words are read in pieces of this many characters
 _OFFSETS = [(0, *o) for size in (2, 3) for o in combinations(range(1, SPAN), size)]
 _WEIGHTS = [DECAY ** (o[-1] + 1 - len(o)) for o in _OFFSETS]
 _START, _END = 1, 2
+_SPACED = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_](?!\w)){2,}")
+_TWO_SPACED = re.compile(r" [^\W\d_] [^\W\d_](?!\w)")
 _TRIM = ".,;:!?\"'()[]{}|*#$%&<>"
 
 
+def joined(text: str) -> str:
+    """Three or more single letters, a space between each, as one word."""
+    return _SPACED.sub(lambda m: m[0].replace(" ", ""), text) if _TWO_SPACED.search(text) else text
+
+
 def _codes(words: list[str]) -> np.ndarray:
     """Characters as 1..63, marks around each word, 0 behind it."""
     longest = max(map(len, words)) + 2
@@ -129,6 +142,8 @@ class Model:
     cuts: tuple[float, ...]
     scale: np.ndarray  # (statistics, 2): mean and spread
     logistic: np.ndarray  # weights, then the constant
+    landmarks: tuple[str, ...] = ()  # what the table was made of, with one weight each
+    beta: np.ndarray | None = None
 
     def values(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.float32)
@@ -170,7 +185,7 @@ class WordValues:
             self.held[w] = self.bare[b] + (_SENTENCE if w.rstrip("\"')]}*#$%&|<>")[-1:] in (".", "!", "?") else 0.0)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " \n ").split(" ") for t in texts]
+        split = [joined(t).replace("\n", " \n ").split(" ") for t in texts]
         found = [list(map(self.held.get, ws)) for ws in split]
         unseen = {w for ws, xs in zip(split, found) if None in xs for w, x in zip(ws, xs) if x is None}
         if unseen:
@@ -237,7 +252,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30
 def _tokens(text: str) -> list[list[str]]:
     """Sentences of trimmed, lower-cased words."""
     out, now = [], []
-    for w in (text or "").replace("\n", " \n ").split(" "):
+    for w in joined(text or "").replace("\n", " \n ").split(" "):
         if w and w != "\n":
             now.append(w.strip(_TRIM).lower())
         if now and (w == "\n" or w.rstrip("\"')]}*#$%&|<>")[-1:] in (".", "!", "?")):
@@ -304,7 +319,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 144, share: float =
         norm = _norms(codes)
         for index, weight_, valid in _features(codes):
             np.add.at(table, index[valid], np.broadcast_to((weight_ * beta[at] / norm)[:, None], index.shape)[valid])
-    model = Model(table, float(w[-1]), (), np.zeros((0, 2)), np.zeros(1))
+    model = Model(table, float(w[-1]), (), np.zeros((0, 2)), np.zeros(1), tuple(chosen), beta)
     values = WordValues(model, limit=10**9).of(texts)
     flat = np.concatenate([v[v < _BREAK - _SENTENCE / 2] for v in values])
     flat = np.where(flat > _SENTENCE / 2, flat - _SENTENCE, flat)
@@ -323,7 +338,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
         part = known.where(F.col("toxic").cast("int") == label).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").where(F.length("text") <= max_chars)
-    found = rows.select(F.xxhash64("id").alias("h"), "id", "text", F.col("toxic").cast("int").alias("toxic")).collect()
+    one = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    found = one.select(F.xxhash64("id").alias("h"), "id", "text", "toxic").collect()
     return [(r.text, r.toxic) for r in sorted(found, key=lambda r: (r.h, r.id, r.text))]
 
 
@@ -353,9 +369,9 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], scored], names=[*[f"__k{i}" for i in range(n)], "score"])
 
     out = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(read)]).mapInArrow(emit, ddl)
-    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
+    return out.select(*kept_as(keep, [name]), F.col("score").alias(name))
 
 
 def held_out(doc_id: str = "doc_id"):
     """Whether a document's label must not be learned: crc32 of its id as text, mod 3, is 1."""
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))

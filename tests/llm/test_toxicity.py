@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from slateql.llm import toxicity as T
 
@@ -64,8 +66,60 @@ def test_kernel_equals_brute_force():
 
 
 def test_collapsed_table_equals_the_kernel_machine(model):
-    long = "idiot" * 30
-    assert np.isfinite(model.values([long, "", "é" * 100])).all()
+    words = [*model.landmarks, "idiot" * 7, "i.d.i.o.t", "banana", "é" * 30, "a", ""]
+    wanted = T.kernel_to(words, list(model.landmarks)) @ model.beta
+    assert np.abs(model.values(words) - wanted).max() < 1e-3 * np.abs(wanted).max()
+    assert np.isfinite(model.values(["idiot" * 30, "é" * 100])).all()
+
+
+def test_scores_equal_brute_force(spark, model):
+    """Every document's score again, from the landmarks and word by word."""
+    texts = [t for t, _ in corpus(5, 40)] + ["", "one word", "No end\nof line! \"Quoted idiot.\" (more) 1,2", "you i d i o t are", "w" * 300]
+
+    def values_of(word):
+        pieces = [word[i : i + T.LONGEST] for i in range(0, max(1, len(word)), T.LONGEST)]
+        return float((T.kernel_to(pieces, list(model.landmarks)) @ model.beta).sum())
+
+    wanted = []
+    for text in texts:
+        text = re.sub(r"(?<!\w)[^\W\d_]( [^\W\d_](?!\w)){2,}", lambda m: m[0].replace(" ", ""), text)
+        sentences, now = [], []
+        for line in text.split("\n"):
+            for w in line.split(" "):
+                now.append(values_of(w.strip(T._TRIM).lower()))
+                if w.rstrip("\"')]}*#$%&|<>")[-1:] in (".", "!", "?") and w.rstrip("\"')]}*#$%&|<>"):
+                    sentences.append(now)
+                    now = []
+        sentences += [now] if now else []
+        flat = np.array([v for x in sentences for v in x])
+        means = np.array([np.mean(x) + model.bias for x in sentences])
+        stats = [float((flat > c).mean()) for c in model.cuts] + [float(np.maximum(flat - model.cuts[0], 0).mean()), means.mean(), np.maximum(means, 0).mean(), means.max()]
+        z = np.dot((np.array(stats) - model.scale[:, 0]) / model.scale[:, 1], model.logistic[:-1]) + model.logistic[-1]
+        wanted.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [r.score for r in T.score(df, model).orderBy("doc_id").collect()]
+    assert np.abs(np.array(found) - wanted).max() < 0.02
+
+
+def test_spaced_letters():
+    assert T.joined("you i d i o t! and a b c_ or a b") == "you idiot! and a b c_ or a b"
+    assert T.joined("x y z") == "xyz" and T.joined("a 1 b 2") == "a 1 b 2" and T.joined("") == ""
+
+
+def test_spaced_insults(model):
+    plain = " ".join(WORDS * 4)
+    hidden = plain.replace("river", "i d i o t").replace("stone", "s c u m")
+    assert scores(model, [hidden])[0] > scores(model, [plain])[0] + 0.1
+
+
+def test_long_documents_and_repeated_ids(spark, model):
+    long = " ".join(WORDS * 20_000)
+    df = spark.createDataFrame([(1, long), (2, long + " idiot scum" * 30_000)], "doc_id long, text string")
+    a, b = (r.score for r in T.score(df, model).orderBy("doc_id").collect())
+    assert a < 0.5 < b
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert T.training_sample(docs, labels, 5, 5, 100, "doc_id", "text", "toxic") in ([("text 0", 1), ("other", 0)], [("other", 0), ("text 0", 1)])
 
 
 def test_query_shape_and_defined_cases(spark, model):
@@ -77,6 +131,8 @@ def test_query_shape_and_defined_cases(spark, model):
     assert T.score(df.limit(0), model).count() == 0
     kept = T.score(df, model, keep=("doc_id", "text", "score"), name="__score")
     assert kept.columns == ["doc_id", "text", "score", "__score"]
+    assert T.score(df, model, keep=("doc_id", "score")).columns == ["doc_id", "input_score", "score"]
+    assert not spark.range(1).select(F.lit(None).cast("long").alias("doc_id")).select(T.held_out().alias("h")).first().h
 
 
 def test_training_needs_both_classes(spark):
