@@ -289,10 +289,16 @@ def _linked(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
     return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """The sizes of all pairwise intersections, by products of 0/1 matrices over the shingles that several sets hold."""
+#: Multiplications up to which a node's intersections are computed at once; beyond, close pairs are taken one by one.
+_MOST_PRODUCTS = 2e10
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray | None:
+    """The sizes of all pairwise intersections, by products of 0/1 matrices over the shingles that several sets hold; None if these are too many."""
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = counts > 1
+    if len(sets) ** 2 * float(several.sum()) > _MOST_PRODUCTS:
+        return None
     column = (np.cumsum(several) - 1)[inverse]
     keep = several[inverse]
     rows, column = np.repeat(np.arange(len(sets)), list(map(len, sets)))[keep], column[keep]
@@ -301,16 +307,12 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(sets), len(sets)), np.float32)
     for start in range(0, int(several.sum()), 4096):
         a, b = np.searchsorted(column, (start, start + 4096))
-        m = np.zeros((len(sets), 4096), np.float32)
+        m = np.zeros((len(sets), min(4096, int(several.sum()) - start)), np.float32)
         m[rows[a:b], column[a:b] - start] = 1
         out += m @ m.T
     return out
 
 
-#: Multiplications up to which a node's intersections are computed at once; beyond, close pairs are taken one by one.
-_MOST_PRODUCTS = 2e10
-
-
 def _full_compare(percent: int):
     """Rows of a node with their sets, sorted by node -> a spanning forest of the links between components."""
 
@@ -319,16 +321,15 @@ def _full_compare(percent: int):
         comp = [places.setdefault(c, len(places)) for c in g["comp"].tolist()]
         sets = [np.frombuffer(x, "<u8") for x in g["shingles"]]
         n = np.array(list(map(len, sets)))
-        joined, at_once = _Sets(len(places)), len(sets) ** 2 * float(n.sum()) / 2 <= _MOST_PRODUCTS
-        if at_once:
-            common = _intersections(sets)
+        joined, common = _Sets(len(places)), _intersections(sets)
+        if common is not None:
             hit = (common > 0) & (100 * common >= percent * (n[:, None] + n[None, :] - common))
             i, j = np.nonzero(np.triu(hit, 1))
         else:
             i, j = _close_pairs(g, percent / 100)
         links = []
         for x, y in zip(i.tolist(), j.tolist()):
-            if joined.find(comp[x]) != joined.find(comp[y]) and (at_once or _linked(percent, sets[x], sets[y])):
+            if joined.find(comp[x]) != joined.find(comp[y]) and (common is not None or _linked(percent, sets[x], sets[y])):
                 joined.join(comp[x], comp[y])
                 links.append((min(g["rep"][x], g["rep"][y]), max(g["rep"][x], g["rep"][y])))
         return links
