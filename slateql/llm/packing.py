@@ -16,10 +16,14 @@ What cannot fill a sequence waits for the next window of the task; at the
 task's end the remainder is cut into powers of two, so no sequence needs
 padding. Row order is kept at the grain of a window.
 
+Order. Without more, sequences are numbered by task. Rows read from files whose names number them, as a sorted
+write leaves them, come to tasks by the size of their files; with ``in_file_order`` they are packed file by file and numbered by
+file and place in it, so ascending sequence ids follow the order of the rows over all files, and still nothing is shuffled.
+
 Defined cases: null text is the empty text, a document of the end id alone; a
 null id is kept as null; repeated rows are packed as often as they occur. Whole texts are packed, whatever their length. An
 empty table gives no pieces. Ids are integers (or cast to them); only the id and the text are read, so other columns may have any names.
-Step groups are those of a task: its last one of a tier may be part-filled.
+Step groups, named by their first sequence, are those of a task, or of a file: the last one of a tier may be part-filled.
 """
 
 from __future__ import annotations
@@ -122,15 +126,14 @@ class WordIds:
 
 
 class _Packer:
-    """Packs one task's documents; ``add`` and ``finish`` yield pieces."""
+    """Packs one task's or file's documents; ``add`` and ``finish`` yield pieces, sequences are numbered from ``first`` to ``end``."""
 
-    def __init__(self, plan: PackingPlan, task: int):
+    def __init__(self, plan: PackingPlan, first: int, end: int):
         self.plan, self.longest = plan, plan.tiers[0]
         self.pools = {t: deque() for t in plan.tiers}
         self.held = 0
-        self.next_sequence = task << 32
-        self.full = dict.fromkeys(plan.tiers, 0)
-        self.task = task
+        self.next_sequence, self.end = first, end
+        self.groups: dict[int, tuple[int, int]] = {}  # tier -> its open step group and the sequences still missing there
 
     def _route(self, piece) -> None:
         """piece: (document, start, length), of at most the longest tier."""
@@ -151,11 +154,12 @@ class _Packer:
     def _write(self, pieces: list, tier: int) -> Iterator[tuple]:
         sequence, offset = self.next_sequence, 0
         self.next_sequence += 1
+        if sequence >= self.end:
+            raise ValueError("too many sequences for one file")
         group = None
-        if tier in self.full:
-            rank = self.plan.tiers.index(tier)
-            group = ((self.task * len(self.plan.tiers) + rank) << 24) + self.full[tier] // max(1, self.plan.step_tokens // tier)
-            self.full[tier] += 1
+        if tier in self.pools:
+            group, missing = self.groups.get(tier) or (sequence, max(1, self.plan.step_tokens // tier))
+            self.groups[tier] = (group, missing - 1) if missing > 1 else None
         for (doc_id, ids, n), start, length in pieces:
             yield doc_id, start, length, ids[4 * start : 4 * (start + length)], n, sequence, offset, tier, group
             offset += length
@@ -205,19 +209,33 @@ class _Packer:
             yield from self._write(pieces, size)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Bits of a sequence id for the number of a file, the place of a row in it, and the sequences behind that row.
+_FILES, _ROWS, _SEQUENCES = 20, 24, 19
+
+
+def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text", in_file_order: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``tokenizer`` is the path of a tokenizer file that drops white space before it merges.
+    ``tokenizer`` is the path of a tokenizer file that drops white space before it merges. ``in_file_order`` is for a ``df`` read from Parquet
+    files named part-<number>-..., at most a million of them with 16 million rows each.
     """
     plan = plan or PackingPlan()
     end = np.array([plan.end_id], "<u4").tobytes()
 
+    def numbers(task: int, file: int | None, row: int | None) -> tuple[int, int]:
+        """First sequence id and the one after the last: of a task, or of the rows of a file from ``row`` on, those of one task."""
+        if file is None:
+            return task << 32, (task + 1) << 32
+        if file >> _FILES or row >> _ROWS:
+            raise ValueError("too many files or rows in one")
+        first = ((file << _ROWS) + row) << _SEQUENCES
+        return first, first + (1 << _SEQUENCES)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer))
-        packer = _Packer(plan, TaskContext.get().partitionId())
+        task, packer, current = TaskContext.get().partitionId(), None, None
         rows, size = [], 0
 
         def flush():
@@ -226,10 +244,16 @@ def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = Non
             return batch
 
         def pieces():
+            nonlocal packer, current
             for batch in batches:
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for d, t, file, row in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
+                    if packer is None or file != current:
+                        if packer is not None:
+                            yield from packer.finish()
+                        packer, current = _Packer(plan, *numbers(task, file, row)), file
                     yield from packer.add(d, words.encode(t.as_py() or "") + end)
-            yield from packer.finish()
+            if packer is not None:
+                yield from packer.finish()
 
         for row in pieces():
             rows.append(row)
@@ -240,4 +264,7 @@ def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = Non
         if rows:
             yield flush()
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(emit, PIECES_DDL)
+    none = F.lit(None).cast("bigint")
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint") if in_file_order else none
+    row = F.col("_metadata.row_index") if in_file_order else none
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), file.alias("file"), row.alias("row")).mapInArrow(emit, PIECES_DDL)

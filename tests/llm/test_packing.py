@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from slateql.llm.packing import PackingPlan, WordIds, pack_documents
@@ -81,3 +82,32 @@ def test_plan_is_checked():
 
 def test_vocabulary_is_not_in_the_repository():
     assert os.path.dirname(PATH) not in os.getcwd()
+
+
+def test_sequences_follow_the_files(spark, tmp_path):
+    """Files of very unequal size come to tasks by size, their sequences are numbered in the order of the rows all the same."""
+    rng, rows = random.Random(3), []
+    for k, size in enumerate([5, 400, 3, 90, 250, 1]):
+        rows += [(1000 * k + i, " ".join(rng.choice("abc") for _ in range(200)), k) for i in range(size)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k int")
+    df.repartitionByRange(6, "k").sortWithinPartitions("doc_id").write.option("compression", "none").parquet(str(tmp_path / "d"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in (("spark.sql.files.maxPartitionBytes", "60k"), ("spark.sql.files.openCostInBytes", "1k")):
+            spark.conf.set(k, v)
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        first = [r[0] // 1000 for r in docs.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id")).orderBy("p").select(F.col("min(doc_id)")).collect()]
+        assert first != sorted(first)  # tasks do not follow the files
+        found = pack_documents(docs, PATH, PackingPlan(window_tokens=2_000), in_file_order=True).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    file_of = {r.doc_id: r.file_name for r in docs.select("doc_id", "_metadata.file_name").collect()}
+    order = [file_of[r.doc_id] for r in sorted(found, key=lambda r: (r.sequence_id, r.offset))]
+    assert order == sorted(order) and len(set(order)) > 3 and {r.doc_id for r in found} == {r[0] for r in rows}
+    assert len({(r.sequence_id, r.offset) for r in found}) == len(found)
+    groups = {}
+    for r in found:
+        if r.step_group is not None:
+            groups.setdefault(r.step_group, {}).setdefault(r.sequence_id, r.tier)
+    assert all(min(g) == name and len(set(g.values())) == 1 and len(g) <= 65_536 // next(iter(g.values())) for name, g in groups.items())
