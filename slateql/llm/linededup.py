@@ -34,7 +34,7 @@ id and a text are one document and are all cut alike; rows that share an id but
 not the text are not compared with each other. A null id takes no part and its
 text stays. Ids are integers (or cast to them). The kept lines are joined by line ends; a document may become
 empty. Whole texts count, whatever their length. An empty table stays empty. Further columns
-are kept, whatever their names.
+are kept, whatever their names; the one more, ``name``, must not be taken.
 """
 
 from __future__ import annotations
@@ -343,8 +343,10 @@ def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text:
     return dealt.drop("partner_h").mapInArrow(_aligned(min_words), _CUTS_DDL)
 
 
-def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with the blocks of ``cuts`` deleted from its texts; the same rows and columns, and ``__n_cut_lines``."""
+def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "__cut") -> DataFrame:
+    """``df`` with the blocks of ``cuts`` deleted from its texts; the same rows and columns, and ``name``, a struct of the lines and the characters that went."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"column {name} is there already")
     cuts = checkpointed(cuts.select(F.col("doc_id").alias("__cut_id"), F.col("h").alias("__cut_h"), F.col("blocks").alias("__cut_blocks")))
     n_blocks = cuts.agg(F.sum(F.size("__cut_blocks"))).first()[0] or 0
     cuts = F.broadcast(cuts) if n_blocks <= MAX_BROADCAST else cuts
@@ -354,7 +356,9 @@ def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str
     inside = lambda i: F.exists("__cut_blocks", lambda b: i.between(b["first"], b["last"]))
     kept = F.array_join(F.filter(F.split(old, "\n", -1), lambda x, i: ~inside(i)), "\n")
     n_cut = F.aggregate("__cut_blocks", F.lit(0), lambda n, b: n + b["last"] - b["first"] + 1)
-    return marked.select(
-        *[F.when(some, kept).otherwise(old).alias(c) if c == text else F.col("__cut_row")[c].alias(c) for c in df.columns],
-        F.when(some, n_cut).otherwise(F.lit(0)).alias("__n_cut_lines"),
+    done = marked.select("__cut_row", some.alias("__cut_some"), F.when(some, kept).otherwise(old).alias("__cut_text"), F.when(some, n_cut).otherwise(F.lit(0)).alias("__cut_lines"))
+    gone = F.when(F.col("__cut_some"), F.length(old) - F.length("__cut_text")).otherwise(F.lit(0))
+    return done.select(
+        *[F.col("__cut_text").alias(c) if c == text else F.col("__cut_row")[c].alias(c) for c in df.columns],
+        F.struct(F.col("__cut_lines").alias("lines"), gone.alias("chars")).alias(name),
     )

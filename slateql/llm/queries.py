@@ -172,7 +172,7 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without the blocks that an earlier document holds, and how many lines went."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = linededup.cut_lines(docs, linededup.line_cuts(docs))
-    return cut.select("doc_id", "text", F.col("__n_cut_lines").cast("bigint").alias("n_cut_lines"))
+    return cut.select("doc_id", "text", F.col("__cut.lines").cast("bigint").alias("n_cut_lines"))
 
 
 # --- 6: URL filters

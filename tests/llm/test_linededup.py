@@ -1,5 +1,6 @@
 import random
 import time
+from collections import Counter
 
 import pytest
 from slateql.llm import linededup
@@ -8,7 +9,10 @@ from slateql.llm.linededup import common_blocks, cut_lines, line_cuts, patience
 
 def cut(spark, rows, min_words=6, parts=3):
     df = spark.createDataFrame([(i, t, 1, "z", 5) for i, t in rows], "doc_id long, text string, blocks int, h string, __cut_id int").repartition(parts)
-    return [(r.doc_id, r.text, r["__n_cut_lines"]) for r in cut_lines(df, line_cuts(df, min_words)).orderBy("doc_id", "text").collect()]
+    found = cut_lines(df, line_cuts(df, min_words)).orderBy("doc_id", "text").collect()
+    whole = Counter((i, len(t or "")) for i, t in rows)
+    assert whole == Counter((r.doc_id, len(r.text or "") + r["__cut"].chars) for r in found)
+    return [(r.doc_id, r.text, r["__cut"].lines) for r in found]
 
 
 def brute(rows, min_words):
