@@ -6,10 +6,10 @@ columns of ``documents``:
 
 1. toxicity: documents that the string-kernel model scores 0.7 or more go;
 2. line_dedup: aligned common blocks are cut from the later document and
-   ``n_chars`` follows; a document of which nothing is left goes;
+   ``n_chars`` follows; a document of which a fifth or less is left was a near copy and goes;
 3. near_dedup: of every group of near duplicates (five words, 0.8) the smallest id stays;
-4. mixing: all rows, written in the order of the mixture;
-5. packing: one row per piece of a training sequence.
+4. mixing: all rows, in files whose numbers and rows follow the mixture;
+5. packing: one row per piece of a training sequence; ascending sequence ids follow the mixture.
 
 Null and empty texts pass every stage; packing gives them the end id alone.
 Further columns of ``docs`` are kept. An empty table gives an empty result.
@@ -27,15 +27,19 @@ from slateql.sources.shared import new_folder, remove
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out())
-    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=tuple(docs.columns), name="__score")
-    return scored.where(F.col("__score") < settings.TOXIC_FROM).select(*docs.columns)
+    name = fresh(docs, "score")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) < settings.TOXIC_FROM).select(*docs.columns)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.cut_lines(docs, linededup.line_cuts(docs))
-    left = cut.where((F.col("__n_cut_lines") == 0) | F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    n_chars = F.when(F.col("__n_cut_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    name = fresh(docs, "cut")
+    cut = linededup.cut_lines(docs, linededup.line_cuts(docs), name=name)
+    gone, left = F.col(f"{name}.chars"), F.length("text")
+    enough = F.col("text").rlike(r"[^\x20\x09-\x0D]") & (100 * left.cast("bigint") > (100 - settings.NEAR_PERCENT) * (left + gone).cast("bigint"))
+    kept = cut.where((F.col(f"{name}.lines") == 0) | enough)
+    n_chars = F.when(F.col(f"{name}.lines") > 0, left.cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(docs, settings.TOKENIZER)
+    pieces = packing.pack_documents(docs, settings.TOKENIZER, in_file_order=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
