@@ -22,4 +22,8 @@ class DeadlockError(ExecutionError):
 
 
 class ConflictError(ExecutionError):
-    """Another process published a manifest in between."""
+    """Another process changed the same table in between."""
+
+
+class VersionTaken(ConflictError):
+    """Another process published a manifest of this number."""

@@ -73,3 +73,29 @@ def compile_where(p: Predicate | None, schema: T.StructType) -> Column | None:
 def holds(p: Predicate | None, schema: T.StructType) -> Column:
     """Never null; for negation and CASE."""
     return F.lit(True) if p is None else F.coalesce(_any(p, schema), F.lit(False))
+
+
+def may_hold(p: Predicate | None, schema: T.StructType, low: int, high: int) -> bool:
+    """Whether a row whose key, an INT and the first column, is from ``low`` to ``high`` may satisfy ``p``; decides which files are read."""
+    if p is None:
+        return True
+    if isinstance(p, Logical):
+        left, right = (may_hold(x, schema, low, high) for x in (p.left, p.right))
+        return left and right if p.operator == "AND" else left or right
+    field = find(p.column, schema)
+    if field is None:
+        return False
+    if field != schema.fields[0] or type_name(field.dataType) != "INT":
+        return True
+    value = integer(p.literal.text)
+    if value is None:
+        return False
+    return {"=": low <= value <= high, "!=": not low == value == high, "<": low < value, "<=": low <= value, ">": high > value, ">=": high >= value}[p.operator]
+
+
+def pins(p: Predicate | None, schema: T.StructType, key: str) -> bool:
+    """Whether all rows that satisfy ``p`` have the same value of the column ``key``."""
+    if isinstance(p, Logical):
+        return p.operator == "AND" and (pins(p.left, schema, key) or pins(p.right, schema, key))
+    field = None if p is None else find(p.column, schema)
+    return field is not None and field.name == key and p.operator == "=" and type_name(field.dataType) in ("INT", "TEXT")

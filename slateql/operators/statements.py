@@ -1,11 +1,14 @@
 """The statements as DataFrame plans over a table's state.
 
-UPDATE and DELETE rewrite only the files that hold a matching row: a first pass
-with the pushed-down predicate names them, the rest are carried over by name.
+The key ranges in the manifest leave out files that no row of a statement can lie in. UPDATE and DELETE rewrite
+only the files that hold a matching row: a first pass
+with the pushed-down predicate names them, the rest are carried over by name. Small files are merged by size: ``FAN`` of about
+one size become one, so a row is rewritten once for every ``FAN``-fold growth, and a file of half ``TARGET`` bytes or more is left alone.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +17,17 @@ from pyspark.sql import types as T
 
 from slateql.errors import ExecutionError
 from slateql.functions import literals
-from slateql.functions.predicates import column, compile_where, find, holds
+from slateql.functions.predicates import column, compile_where, find, holds, may_hold, pins
 from slateql.plans import syntax
 from slateql.sources.external import External
-from slateql.sources.snapshots import Store, Table
+from slateql.sources.snapshots import DataFile, Store, Table
 
 MOST_COLUMNS = 255
+#: Bytes of a full data file.
+TARGET = 128 << 20
+#: So many small files of a size are merged into one.
+FAN = 16
+_LEAST_TIER = 4 << 10
 
 
 def quoted(text: str) -> str:
@@ -37,7 +45,7 @@ def select(s: syntax.Select, table: Table | External, rows: DataFrame) -> DataFr
         names = [f.name for f in fields]
     where = compile_where(s.where, table.schema)
     out = rows if where is None else rows.where(where)
-    if table.key is not None:
+    if table.key is not None and not pins(s.where, table.schema, table.key):
         out = out.orderBy(column(table.key))
     return out.select(*[column(n).alias(n) for n in names])
 
@@ -63,10 +71,16 @@ def typed_row(values: tuple, table: Table) -> tuple:
     return tuple(out)
 
 
+def in_range(table: Table, where: syntax.Predicate | None) -> tuple[DataFile, ...]:
+    """The files that may hold a row for ``where``, by their key ranges."""
+    return tuple(f for f in table.files if may_hold(where, table.schema, f.low, f.high))
+
+
 def has_key(store: Store, table: Table, key: int) -> bool:
     if any(r[0] == key for r in table.pending):
         return True
-    return bool(table.files) and not store.read(table, table.files).where(column(table.key) == key).limit(1).isEmpty()
+    files = tuple(f for f in table.files if f.low <= key <= f.high)
+    return bool(files) and not store.read(table, files, pending=False).where(column(table.key) == key).limit(1).isEmpty()
 
 
 def insert(s: syntax.Insert, table: Table, store: Store) -> Table:
@@ -81,22 +95,22 @@ def flushed(table: Table, store: Store) -> Table:
     """Pending rows written as one file."""
     if not table.pending:
         return table
-    rows = store.spark.createDataFrame(list(table.pending), table.schema).coalesce(1).sortWithinPartitions(column(table.key))
-    return replace(table, files=table.files + store.write(rows, table), pending=())
+    return replace(table, files=table.files + store.write_rows(list(table.pending), table), pending=())
 
 
-def _touched(table: Table, store: Store, matching: Column | None) -> tuple[str, ...]:
+def _touched(table: Table, store: Store, where: syntax.Predicate | None) -> tuple[DataFile, ...]:
     """The files that hold a matching row; their number is bounded by the table's files."""
-    if matching is None or not table.files:
-        return table.files
-    rows = store.read(table, table.files).where(matching).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    files = in_range(table, where)
+    if where is None or not files:
+        return files
+    rows = store.read(table, files).where(compile_where(where, table.schema)).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
     found = {store.relative(r.f) for r in rows}
-    return tuple(f for f in table.files if f in found)
+    return tuple(f for f in files if f.path in found)
 
 
 def _rewritten(table: Table, store: Store, where: syntax.Predicate | None, change) -> Table:
     table = flushed(table, store)
-    touched = _touched(table, store, compile_where(where, table.schema))
+    touched = _touched(table, store, where)
     if not touched:
         return table
     kept = tuple(f for f in table.files if f not in set(touched))
@@ -127,27 +141,63 @@ def delete(s: syntax.Delete, table: Table, store: Store) -> Table:
     return _rewritten(table, store, s.where, lambda rows: rows.where(~holds(s.where, table.schema)))
 
 
+def _ordered(rows: DataFrame, key: Column, size: int) -> DataFrame:
+    """``rows`` of about ``size`` bytes in key order, in partitions of disjoint ranges and ``TARGET`` bytes."""
+    n = max(1, math.ceil(size / TARGET))
+    if n == 1:
+        return rows.coalesce(1).sortWithinPartitions(key)
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartitionByRange(n, key) if n < most else rows.repartitionByRange(key)).sortWithinPartitions(key)
+
+
 def load(df: DataFrame, table: Table, store: Store) -> Table:
-    """Bulk load (an extension): rows checked for key type, range and uniqueness, written in key order."""
-    key = column(table.key)
+    """Bulk load (an extension): rows are written in key order and then checked for key type, range and uniqueness.
+
+    Written keys are compared with each other, and with those of the older files whose ranges they reach into.
+    The number of files follows the planner's estimate of the input's bytes.
+    """
+    wrong = ExecutionError(f"keys of table {quoted(table.name)} must be integers from 0 to {literals.MOST_KEY}")
+    if table.key_type != "INT":
+        raise wrong
+    key, table = column(table.key), flushed(table, store)
     rows = df.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
-    low, high, nulls = rows.agg(F.min(key), F.max(key), F.sum(key.isNull().cast("int"))).first()
-    if table.key_type != "INT" or nulls or (low is not None and (low < 0 or high > literals.MOST_KEY)):
-        raise ExecutionError(f"keys of table {quoted(table.name)} must be integers from 0 to {literals.MOST_KEY}")
-    before = store.read(table).select(key)
-    twice = before.union(rows.select(key)).groupBy(key).count().where("count > 1").limit(1).collect()
+    estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    sized = _ordered(rows, key, estimate) if estimate > TARGET else rows.repartition(1).sortWithinPartitions(key)
+    try:
+        new = store.write(sized, table)
+    except ExecutionError:
+        raise wrong from None
+    if any(f.low < 0 or f.high > literals.MOST_KEY for f in new):
+        raise wrong
+    keys = store.read(table, new, pending=False).select(key.alias("k"))
+    near = tuple(f for f in table.files if any(f.low <= g.high and g.low <= f.high for g in new))
+    twice = keys.groupBy("k").count().where("count > 1").limit(1).collect()
+    if not twice and near:
+        twice = store.read(table, near, pending=False).select(key.alias("k")).join(keys, "k", "left_semi").limit(1).collect()
     if twice:
         raise ExecutionError(f"duplicate key: primary key {twice[0][0]} already exists in table {quoted(table.name)}")
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    table = flushed(table, store)
-    return replace(table, files=table.files + store.write(ordered, table))
+    return replace(table, files=table.files + new)
+
+
+def _tier(f: DataFile) -> int:
+    return max(0, int(math.log(max(1, f.bytes / _LEAST_TIER), 4)))
+
+
+def _merged(table: Table, store: Store, files: list[DataFile]) -> Table:
+    rows = _ordered(store.read(table, tuple(files), pending=False), column(table.key), sum(f.bytes for f in files))
+    kept = tuple(f for f in table.files if f not in set(files))
+    return replace(table, files=kept + store.write(rows, table))
+
+
+def merged(table: Table, store: Store) -> Table:
+    """The table after the merge that is due, if any: of the smallest tier with ``FAN`` files, and what is smaller."""
+    small = [f for f in table.files if f.bytes < TARGET // 2]
+    due = [t for t in range(_tier(DataFile("", 0, TARGET, 0, 0)) + 1) if sum(_tier(f) == t for f in small) >= FAN]
+    return _merged(table, store, [f for f in small if _tier(f) <= due[0]]) if due else table
 
 
 def compacted(table: Table, store: Store) -> Table:
-    """The rows in few files of disjoint key ranges."""
+    """All small files as few of disjoint key ranges; full ones stay."""
     table = flushed(table, store)
-    if not table.files:
-        return table
-    key = column(table.key)
-    rows = store.read(table, table.files).repartitionByRange(key).sortWithinPartitions(key)
-    return replace(table, files=store.write(rows, table))
+    small = [f for f in table.files if f.bytes < TARGET // 2]
+    return _merged(table, store, small) if len(small) > 1 else table

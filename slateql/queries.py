@@ -6,14 +6,14 @@ their own in the cluster's shared folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateql.engine import Engine
+from slateql.errors import ExecutionError
 from slateql.operators.keyvalue import KeyValueTable
 from slateql.sources.external import External
+from slateql.sources.shared import new_folder
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -33,8 +33,8 @@ KEYS = {
 
 
 def _root(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/slateql"
-    return f"{folder.rstrip('/')}/engine-{uuid.uuid4()}"
+    """A root that the query's DataFrame reads; ``remove_folders`` clears it away afterwards."""
+    return new_folder(spark, "engine")
 
 
 def reader(spark: SparkSession, sf_dir: str, *tables: str, strict: bool = True) -> Engine:
@@ -228,20 +228,125 @@ def commit_reopen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, engine.store.root).sql("SELECT * FROM nation")
 
 
-@_query("SELECT * FROM (VALUES (1::BIGINT, 'debug', true), (2::BIGINT, 'timeout', false)) AS t(id, key, value)")
+@_query("SELECT * FROM (VALUES (3::BIGINT, 'north', 40::BIGINT, true), (8::BIGINT, 'south', 41::BIGINT, false)) AS t(id, shelf, boxes, full_)")
 def drop_recreate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C1, C2, C5."""
     engine = Engine(spark, _root(spark))
     for sql in (
-        "CREATE TABLE config (id INT, key TEXT)",
-        "INSERT INTO config VALUES (7, 'old')",
-        "DROP TABLE config",
-        "CREATE TABLE config (id INT, key TEXT, value BOOL)",
-        "INSERT INTO config VALUES (2, 'timeout', FALSE)",
-        "INSERT INTO config VALUES (1, 'debug', true)",
+        "CREATE TABLE shelves (id INT, shelf TEXT)",
+        "INSERT INTO shelves VALUES (3, 'old')",
+        "DROP TABLE shelves",
+        "CREATE TABLE shelves (id INT, shelf TEXT, boxes INT, full_ BOOL)",
+        "INSERT INTO shelves VALUES (8, 'south', 5, FALSE)",
+        "INSERT INTO shelves VALUES (3, 'north', 40, true)",
+        "UPDATE shelves SET boxes = 41 WHERE id = 8",
     ):
         engine.sql(sql)
-    return engine.sql("SELECT * FROM config")
+    return engine.sql("SELECT * FROM shelves")
+
+
+def _refused(engine: Engine, *sqls: str) -> None:
+    """Statements that must fail with an execution error."""
+    for sql in sqls:
+        try:
+            engine.sql(sql)
+        except ExecutionError:
+            continue
+        raise AssertionError(f"{sql} was not refused")
+
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
+def insert_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused leaves the table as it was."""
+    engine = managed(spark, sf_dir, "region", "r_name")
+    _refused(
+        engine,
+        "INSERT INTO ghost VALUES (9, 'x')",
+        "INSERT INTO region VALUES (9)",
+        "INSERT INTO region VALUES (9, 'x', 'y')",
+        "INSERT INTO region VALUES (1, 'twice')",
+        "INSERT INTO region VALUES ('9', 'x')",
+        "INSERT INTO region VALUES (9, 5)",
+        "INSERT INTO region VALUES (9, true)",
+        "INSERT INTO region VALUES (4294967296, 'x')",
+    )
+    return engine.sql("SELECT * FROM region")
+
+
+@_query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey FROM supplier")
+def update_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, unknown column, other type, and an integer out of range, which fails only if a row would take it."""
+    engine = managed(spark, sf_dir, "supplier", "s_name", "s_nationkey")
+    _refused(
+        engine,
+        "UPDATE supplier SET s_suppkey = 5",
+        "UPDATE supplier SET ghost = 5",
+        "UPDATE supplier SET s_nationkey = 'x'",
+        "UPDATE supplier SET s_nationkey = 9223372036854775808",
+        "UPDATE supplier SET s_nationkey = 9223372036854775808 WHERE s_suppkey = 1",
+    )
+    engine.sql("UPDATE supplier SET s_nationkey = 9223372036854775808 WHERE s_suppkey = 4294967295")
+    return engine.sql("SELECT * FROM supplier")
+
+
+_NULLS = "SELECT CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS n_name, CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey, n_nationkey FROM nation"
+
+
+def _nulls(name: str, where: str, oracle: str) -> None:
+    """a comparison with null is FALSE, in every operator, under AND and under OR."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = f"{_root(spark)}/nulls.parquet"
+        nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+        holes = nation.select("n_nationkey", F.expr("CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS n_name"), F.expr("CASE WHEN n_nationkey % 2 <> 0 THEN n_regionkey END AS n_regionkey"))
+        holes.write.parquet(path)
+        engine = Engine(spark, _root(spark))
+        engine.register("holes", path, "n_nationkey")
+        return engine.sql(f"SELECT * FROM holes WHERE {where}")
+
+    QUERIES[name] = query
+    ORACLE_SQL[name] = f"SELECT * FROM ({_NULLS}) WHERE coalesce({oracle}, false)"
+
+
+_nulls("null_ne", "n_name != 'CHINA'", "n_name <> 'CHINA'")
+_nulls("null_le", "n_regionkey <= 9", "n_regionkey <= 9")
+_nulls("null_and_or", "n_regionkey >= 0 AND n_name > 'A' OR n_name < 'B'", "n_regionkey >= 0 AND n_name > 'A' OR n_name < 'B'")
+
+
+@_query(f"SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM ({_NULLS}) WHERE NOT coalesce(n_name >= 'A', false)")
+def null_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row whose condition is null stays."""
+    engine = Engine(spark, _root(spark))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.expr("CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS n_name"))
+    engine.create_from("holes", nation, "n_nationkey")
+    engine.sql("DELETE FROM holes WHERE n_name >= 'A'")
+    return engine.sql("SELECT * FROM holes")
+
+
+@_query("SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region UNION ALL SELECT 50, 'kept'")
+def ddl_not_undone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rollback undoes rows, not tables."""
+    engine = managed(spark, sf_dir, "region", "r_name")
+    txn = engine.begin()
+    for sql in ("CREATE TABLE extra (id INT, s TEXT)", "INSERT INTO extra VALUES (1, 'undone')", "DELETE FROM region"):
+        txn.sql(sql)
+    engine.rollback(txn.id)
+    engine.sql("INSERT INTO extra VALUES (50, 'kept')")
+    both = engine.sql("SELECT * FROM region").union(engine.sql("SELECT * FROM extra"))
+    txn = engine.begin()
+    txn.sql("DROP TABLE extra")
+    engine.rollback(txn.id)
+    _refused(engine, "SELECT * FROM extra", "INSERT INTO extra VALUES (2, 'x')")
+    return both
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey = 7 THEN 0 ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey <> 9 UNION ALL SELECT 4000000000, 1")
+def small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1, D5, D6 by key range: one row in, one changed, one out."""
+    engine = managed(spark, sf_dir, "orders", "o_custkey")
+    for sql in ("INSERT INTO orders VALUES (4000000000, 1)", "UPDATE orders SET o_custkey = 0 WHERE o_orderkey = 7", "DELETE FROM orders WHERE o_orderkey = 9"):
+        engine.sql(sql)
+    return engine.sql("SELECT * FROM orders")
 
 
 @_query("SELECT c_custkey, c_name, c_mktsegment FROM customer")

@@ -56,14 +56,22 @@ def repl(engine: Engine, lines: TextIO = sys.stdin, out: TextIO = sys.stdout, er
     _loop("sql> ", run, lines, out, err)
 
 
-def client_lines(response: dict) -> Iterable[str]:
-    if not response["columns"]:
+def client_lines(answer: Iterable[str]) -> Iterable[str]:
+    """Header, dashes and rows of an answer, line by line as it comes."""
+    answer = iter(answer)
+    columns = json.loads(f"{next(answer, '').rstrip()}]}}")["columns"]
+    if columns:
+        yield "\t".join(columns)
+        yield "-" * 40
+    for line in answer:
+        line = line.rstrip()
+        if line == "]}":
+            break
+        yield "\t".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in json.loads(line.removesuffix(",")))
+    else:
+        raise SqlError("the answer was cut short")
+    if not columns:
         yield "OK"
-        return
-    yield "\t".join(response["columns"])
-    yield "-" * 40
-    for row in response["rows"]:
-        yield "\t".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in row)
 
 
 def client(address: str, lines: TextIO = sys.stdin, out: TextIO = sys.stdout, err: TextIO = sys.stderr) -> None:
@@ -71,7 +79,7 @@ def client(address: str, lines: TextIO = sys.stdin, out: TextIO = sys.stdout, er
         request = urllib.request.Request(f"http://{address}/", json.dumps({"sql": line}).encode())
         try:
             with urllib.request.urlopen(request) as response:
-                return list(client_lines(json.load(response)))
+                yield from client_lines(line.decode() for line in response)
         except urllib.error.HTTPError as e:
             found = json.load(e)
             raise SqlError(f"{found['code']}: {found['message']}") from None

@@ -1,10 +1,15 @@
+import multiprocessing
+import os
+import random
 import threading
 
 import pytest
 
 from slateql.engine import Engine
 from slateql.errors import ConflictError, ExecutionError
-from slateql.sources.snapshots import Store
+from slateql.operators import statements
+from slateql.plans.parser import parse_sql
+from slateql.sources.snapshots import DataFile, Store
 
 
 @pytest.fixture
@@ -21,130 +26,217 @@ def rows(engine, sql):
     return [tuple(r) for r in engine.sql(sql).collect()]
 
 
-def users(db):
-    for sql in ("CREATE TABLE users (id INT, name TEXT, age INT)", "INSERT INTO users VALUES (2, 'bob', 25)", "INSERT INTO users VALUES (1, 'alice', 30)"):
+PARCELS = [(4, "turin", 95), (7, "oslo", 410)]
+
+
+def parcels(db):
+    for sql in ("CREATE TABLE parcels (no INT, town TEXT, grams INT)", "INSERT INTO parcels VALUES (7, 'oslo', 410)", "INSERT INTO parcels VALUES (4, 'turin', 95)"):
         assert db.sql(sql) is None
     return db
 
 
 def test_rows_come_in_key_order_under_declared_names(db):
-    users(db)
-    found = db.sql("SELECT AGE, Id, AGE FROM users")
-    assert found.columns == ["age", "id", "age"]
-    assert [tuple(r) for r in found.collect()] == [(30, 1, 30), (25, 2, 25)]
-    assert rows(db, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
+    parcels(db)
+    found = db.sql("SELECT GRAMS, No, GRAMS FROM parcels")
+    assert found.columns == ["grams", "no", "grams"]
+    assert [tuple(r) for r in found.collect()] == [(95, 4, 95), (410, 7, 410)]
+    assert rows(db, "SELECT * FROM parcels") == PARCELS
 
 
 def test_complex_where(db):
-    users(db)
-    db.sql("INSERT INTO users VALUES (3, 'carol', 30)")
-    db.sql("INSERT INTO users VALUES (4, 'dave', 20)")
-    assert rows(db, "SELECT name FROM users WHERE age = 30 AND name = 'alice' OR age = 20") == [("alice",), ("dave",)]
+    parcels(db)
+    db.sql("INSERT INTO parcels VALUES (9, 'lima', 410)")
+    db.sql("INSERT INTO parcels VALUES (0, 'cork', 12)")
+    assert rows(db, "SELECT town FROM parcels WHERE grams = 12 OR grams = 410 AND town > 'm'") == [("cork",), ("oslo",)]
 
 
 def test_types_and_limits(db):
-    db.sql("CREATE TABLE items (id INT, label TEXT, count INT, active BOOL)")
-    db.sql("INSERT INTO items VALUES (0, '', 9223372036854775807, true)")
-    db.sql("INSERT INTO items VALUES (4294967295, 'é', 0, FALSE)")
-    assert rows(db, "SELECT * FROM items") == [(0, "", 9223372036854775807, True), (4294967295, "é", 0, False)]
-    assert rows(db, "SELECT id FROM items WHERE active = 'true'") == [(0,)]
+    db.sql("CREATE TABLE tools (id INT, label TEXT, stock INT, sharp BOOL)")
+    db.sql("INSERT INTO tools VALUES (0, '', 9223372036854775807, true)")
+    db.sql("INSERT INTO tools VALUES (4294967295, 'é', 0, FALSE)")
+    assert rows(db, "SELECT * FROM tools") == [(0, "", 9223372036854775807, True), (4294967295, "é", 0, False)]
+    assert rows(db, "SELECT id FROM tools WHERE sharp = 'true'") == [(0,)]
 
 
 @pytest.mark.parametrize(
     "sql,message",
     [
         ("SELECT * FROM ghost", 'table "ghost" not found'),
-        ("SELECT ghost FROM users", 'column "ghost" not found in table "users"'),
+        ("SELECT ghost FROM parcels", 'column "ghost" not found in table "parcels"'),
         ("INSERT INTO ghost VALUES (1)", 'table "ghost" not found'),
-        ("INSERT INTO users VALUES (1, 'x')", r"mismatched value count \(2 vs 3\)"),
-        ("INSERT INTO users VALUES (4294967296, 'x', 1)", "unable to convert literal to primary key"),
-        ("INSERT INTO users VALUES ('x', 'x', 1)", "unable to convert literal to primary key"),
-        ("INSERT INTO users VALUES (1, 'x', 1)", 'duplicate key: primary key 1 already exists in table "users"'),
-        ("INSERT INTO users VALUES ('9', 'x', 1)", "primary key: Literal type mismatch"),
-        ("INSERT INTO users VALUES (9, 5, 1)", 'column "name": Literal type mismatch'),
-        ("INSERT INTO users VALUES (9, 'x', 99999999999999999999)", 'column "age": failed to parse INT literal'),
+        ("INSERT INTO parcels VALUES (1, 'x')", r"mismatched value count \(2 vs 3\)"),
+        ("INSERT INTO parcels VALUES (4294967296, 'x', 1)", "unable to convert literal to primary key"),
+        ("INSERT INTO parcels VALUES ('x', 'x', 1)", "unable to convert literal to primary key"),
+        ("INSERT INTO parcels VALUES (7, 'x', 1)", 'duplicate key: primary key 7 already exists in table "parcels"'),
+        ("INSERT INTO parcels VALUES ('9', 'x', 1)", "primary key: Literal type mismatch"),
+        ("INSERT INTO parcels VALUES (9, 5, 1)", 'column "town": Literal type mismatch'),
+        ("INSERT INTO parcels VALUES (9, 'x', 99999999999999999999)", 'column "grams": failed to parse INT literal'),
         ("UPDATE ghost SET a = 1", 'table "ghost" not found'),
-        ("UPDATE users SET id = 5", 'unable to find column "id" in schema'),
-        ("UPDATE users SET ghost = 5", 'unable to find column "ghost" in schema'),
-        ("UPDATE users SET age = 'x' WHERE id = 77", "datatype do not match"),
-        ("UPDATE users SET age = 99999999999999999999", "failed to parse INT literal"),
+        ("UPDATE parcels SET no = 5", 'unable to find column "no" in schema'),
+        ("UPDATE parcels SET ghost = 5", 'unable to find column "ghost" in schema'),
+        ("UPDATE parcels SET grams = 'x' WHERE no = 77", "datatype do not match"),
+        ("UPDATE parcels SET grams = 99999999999999999999", "failed to parse INT literal"),
         ("DELETE FROM ghost", 'table "ghost" not found'),
-        ("CREATE TABLE users (id INT)", 'table "users" already exists'),
+        ("CREATE TABLE parcels (id INT)", 'table "parcels" already exists'),
         ("DROP TABLE ghost", 'table "ghost" does not exist'),
     ],
 )
 def test_errors_leave_the_state(db, sql, message):
-    users(db)
+    parcels(db)
     with pytest.raises(ExecutionError, match=message):
         db.sql(sql)
-    assert rows(db, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
+    assert rows(db, "SELECT * FROM parcels") == PARCELS
 
 
 def test_update_out_of_range_without_a_match_is_no_error(db):
-    users(db)
-    db.sql("UPDATE users SET age = 99999999999999999999 WHERE id = 77")
+    parcels(db)
+    db.sql("UPDATE parcels SET grams = 99999999999999999999 WHERE no = 77")
 
 
-def test_non_integer_key_tables_stay_empty(db):
-    db.sql("CREATE TABLE products (sku TEXT, n INT)")
-    with pytest.raises(ExecutionError, match='primary key "sku" has unsupported type "TEXT": only INT is supported'):
-        db.sql("INSERT INTO products VALUES ('a', 1)")
-    assert rows(db, "SELECT * FROM products") == []
+@pytest.mark.parametrize("kind", ["TEXT", "BOOL"])
+def test_tables_with_other_keys_stay_empty(db, kind):
+    db.sql(f"CREATE TABLE tags (tag {kind}, weight INT)")
+    with pytest.raises(ExecutionError, match=f'primary key "tag" has unsupported type "{kind}": only INT is supported'):
+        db.sql("INSERT INTO tags VALUES ('a', 1)")
+    db.sql("UPDATE tags SET weight = 1")
+    db.sql("DELETE FROM tags WHERE weight = 1")
+    assert rows(db, "SELECT * FROM tags") == []
 
 
 def test_update_and_delete(db):
-    users(db)
-    db.sql("UPDATE users SET name = 'x' WHERE age > 26")
-    assert rows(db, "SELECT * FROM users") == [(1, "x", 30), (2, "bob", 25)]
-    db.sql("UPDATE users SET age = 7")
-    db.sql("DELETE FROM users WHERE name = bob")
-    assert rows(db, "SELECT * FROM users") == [(1, "x", 7)]
-    db.sql("DELETE FROM users WHERE ghost = 1")
-    assert len(rows(db, "SELECT * FROM users")) == 1
-    db.sql("DELETE FROM users")
-    assert rows(db, "SELECT * FROM users") == []
-    db.sql("INSERT INTO users VALUES (1, 'again', 1)")
+    parcels(db)
+    db.sql("UPDATE parcels SET town = 'bonn' WHERE grams > 100")
+    assert rows(db, "SELECT * FROM parcels") == [(4, "turin", 95), (7, "bonn", 410)]
+    db.sql("UPDATE parcels SET grams = 1")
+    db.sql("DELETE FROM parcels WHERE town = turin")
+    assert rows(db, "SELECT * FROM parcels") == [(7, "bonn", 1)]
+    db.sql("DELETE FROM parcels WHERE ghost = 1")
+    assert len(rows(db, "SELECT * FROM parcels")) == 1
+    db.sql("DELETE FROM parcels")
+    assert rows(db, "SELECT * FROM parcels") == []
+    db.sql("INSERT INTO parcels VALUES (7, 'again', 1)")
+
+
+def test_statements_against_a_model(db):
+    """Random statements on a table and on a dictionary."""
+    rng, model = random.Random(21), {}
+    db.sql("CREATE TABLE m (k INT, v INT)")
+    for _ in range(40):
+        k, v = rng.randrange(12), rng.randrange(5)
+        match rng.randrange(4):
+            case 0 | 1:
+                if k in model:
+                    with pytest.raises(ExecutionError, match="duplicate key"):
+                        db.sql(f"INSERT INTO m VALUES ({k}, {v})")
+                else:
+                    db.sql(f"INSERT INTO m VALUES ({k}, {v})")
+                    model[k] = v
+            case 2:
+                db.sql(f"UPDATE m SET v = {v} WHERE k >= {k} AND k < {k + 4} OR v = 0")
+                model = {x: v if k <= x < k + 4 or y == 0 else y for x, y in model.items()}
+            case 3:
+                db.sql(f"DELETE FROM m WHERE k = {k} OR v = {v} AND k > 6")
+                model = {x: y for x, y in model.items() if not (x == k or y == v and x > 6)}
+    assert rows(db, "SELECT * FROM m") == sorted(model.items())
 
 
 def test_delete_rewrites_only_files_with_a_match(db):
-    users(db)
-    before = db.manifest.tables["users"].files
-    db.sql("DELETE FROM users WHERE id = 1")
-    after = db.manifest.tables["users"].files
-    assert len(before) == 2 and len(set(before) & set(after)) == 1
+    parcels(db)
+    before = db.manifest.tables["parcels"].files
+    db.sql("DELETE FROM parcels WHERE no = 4")
+    after = db.manifest.tables["parcels"].files
+    assert len(before) == 2 and set(after) < set(before)
+
+
+@pytest.fixture
+def wide(spark, db, monkeypatch):
+    """A bulk-loaded table of many full files, at a hundred shuffle partitions."""
+    monkeypatch.setattr(statements, "TARGET", 4_000)
+    settings = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    db.create_from("wide", spark.range(60_000).selectExpr("id * 10 AS id", "hash(id) AS v", "cast(xxhash64(id) AS string) AS s"), "id")
+    yield db
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_changes_keep_untouched_files(wide):
+    loaded = set(wide.manifest.tables["wide"].files)
+    assert len(loaded) > 64
+    ranges = sorted((f.low, f.high) for f in loaded)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:])) and sum(f.rows for f in loaded) == 60_000
+
+    def gone():
+        return len(loaded - set(wide.manifest.tables["wide"].files))
+
+    wide.sql("INSERT INTO wide VALUES (5, 1, 'x')")
+    assert gone() == 0
+    wide.sql("UPDATE wide SET v = 0 WHERE id = 5")
+    assert gone() == 0
+    wide.sql("UPDATE wide SET v = 0 WHERE id = 1000")
+    assert gone() == 1
+    wide.sql("DELETE FROM wide WHERE id = 300000")
+    assert gone() == 2
+    for k in range(20):
+        wide.sql(f"INSERT INTO wide VALUES ({600_000 + k}, 1, 'x')")
+    assert gone() == 2 and len(wide.manifest.tables["wide"].files) < len(loaded) + 20
+    assert rows(wide, "SELECT id FROM wide WHERE id >= 599990") == [(599_990,), *((600_000 + k,) for k in range(20))]
+    assert wide.sql("SELECT * FROM wide").count() == 60_020
+
+
+def test_statements_read_only_files_of_their_keys(wide):
+    table = wide.manifest.tables["wide"]
+    some = lambda where: len(statements.in_range(table, parse_sql(f"SELECT * FROM wide WHERE {where}").where))
+    assert some("id = 1000") == 1 and some("id < 50 OR id = 1000") <= 2 and some("id > 600000") == 0
+    assert some("id != 1000") == some("v = 3") == some("id = 1000 OR v = 3") == len(table.files)
+    assert some("ghost = 1") == some("id = abc") == 0 and some("id >= 100 AND v = 3 AND id <= 100") == 1
+    assert rows(wide, "SELECT id FROM wide WHERE id > 600000") == []
+    assert "Sort" not in wide.sql("SELECT * FROM wide WHERE id = 1000")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_are_merged_by_tiers(db):
+    db.sql("CREATE TABLE t (id INT)")
+    sizes = []
+    for k in range(40):
+        db.sql(f"INSERT INTO t VALUES ({k})")
+        sizes.append(len(db.manifest.tables["t"].files))
+    assert max(sizes) <= 2 * statements.FAN and sizes[15] == 1
+    assert rows(db, "SELECT * FROM t") == [(k,) for k in range(40)]
+    full = DataFile("x", 1, statements.TARGET, 0, 0)
+    assert statements.merged(db.manifest.tables["t"].__class__(1, "t", None, "INT", (full,) * 40), None).files == (full,) * 40
 
 
 def test_reopen(spark, root, db):
-    users(db)
+    parcels(db)
     again = Engine(spark, root)
-    assert rows(again, "SELECT * FROM users") == [(1, "alice", 30), (2, "bob", 25)]
-    again.sql("DROP TABLE users")
-    again.sql("CREATE TABLE users (id INT, ok BOOL)")
-    assert rows(Engine(spark, root), "SELECT * FROM users") == []
+    assert rows(again, "SELECT * FROM parcels") == PARCELS
+    again.sql("DROP TABLE parcels")
+    again.sql("CREATE TABLE parcels (id INT, ok BOOL)")
+    assert rows(Engine(spark, root), "SELECT * FROM parcels") == []
     assert Engine(spark, root).next_table_id() == 3
 
 
 def test_malformed_catalog(spark, root, db):
-    users(db)
+    parcels(db)
     path = f"{root}/catalog/manifest-000000099.json"
     with open(path, "w") as f:
-        f.write('{"version": 99, "next_id": 2, "tables": {"users": {"id": 1, "files": []}}}')
+        f.write('{"version": 99, "next_id": 2, "tables": {"parcels": {"id": 1, "files": []}}}')
     with pytest.raises(ExecutionError, match="malformed catalog entry"):
         Engine(spark, root)
 
 
 def test_transaction_sees_its_writes_and_rolls_back(db):
-    db.sql("CREATE TABLE t (id INT, v INT)")
-    db.sql("INSERT INTO t VALUES (1, 10)")
-    db.sql("INSERT INTO t VALUES (2, 20)")
+    parcels(db)
     txn = db.begin()
-    for sql in ("DELETE FROM t WHERE id = 1", "UPDATE t SET v = 99 WHERE id = 2", "INSERT INTO t VALUES (3, 30)"):
+    for sql in ("INSERT INTO parcels VALUES (5, 'rome', 3)", "UPDATE parcels SET grams = 4 WHERE town < 'p'", "DELETE FROM parcels WHERE no = 4", "INSERT INTO parcels VALUES (4, 'new', 0)"):
         txn.sql(sql)
-    assert [tuple(r) for r in txn.sql("SELECT * FROM t").collect()] == [(2, 99), (3, 30)]
-    assert rows(db, "SELECT * FROM t") == [(1, 10), (2, 20)]
+    assert [tuple(r) for r in txn.sql("SELECT * FROM parcels").collect()] == [(4, "new", 0), (5, "rome", 3), (7, "oslo", 4)]
+    assert rows(db, "SELECT * FROM parcels") == PARCELS
     db.rollback(txn.id)
     db.rollback(txn.id)
-    assert rows(db, "SELECT * FROM t") == [(1, 10), (2, 20)]
+    assert rows(db, "SELECT * FROM parcels") == PARCELS
 
 
 def test_commit_publishes_all_tables_at_once(spark, root, db):
@@ -170,30 +262,103 @@ def test_ddl_survives_rollback(db):
 
 
 def test_crash_between_write_and_publish(spark, root, db):
-    users(db)
+    parcels(db)
     txn = db.begin()
-    txn.sql("UPDATE users SET age = 1")
+    txn.sql("UPDATE parcels SET grams = 1")
     again = Engine(spark, root)  # the first process is gone; its files are not named
-    assert rows(again, "SELECT age FROM users") == [(30,), (25,)]
+    assert rows(again, "SELECT grams FROM parcels") == [(95,), (410,)]
     assert again.vacuum() > 0
-    assert rows(again, "SELECT age FROM users") == [(30,), (25,)]
+    assert rows(again, "SELECT grams FROM parcels") == [(95,), (410,)]
 
 
-def test_two_processes_conflict(spark, root, db):
+def test_processes_see_each_other_and_conflict(spark, root, db):
+    """Two engines over one root stand for two processes."""
     db.sql("CREATE TABLE t (id INT)")
+    db.sql("CREATE TABLE u (id INT)")
     other = Engine(spark, root)
     other.sql("INSERT INTO t VALUES (1)")
-    with pytest.raises(ConflictError):
-        db.sql("INSERT INTO t VALUES (2)")
-    assert rows(Engine(spark, root), "SELECT * FROM t") == [(1,)]
-    db.sql("INSERT INTO t VALUES (2)")
-    assert rows(Engine(spark, root), "SELECT * FROM t") == [(1,), (2,)]
+    assert rows(db, "SELECT * FROM t") == [(1,)]
+    mine, theirs = db.begin(), other.begin()
+    mine.sql("INSERT INTO t VALUES (2)")
+    theirs.sql("INSERT INTO t VALUES (3)")
+    other.commit(theirs.id)
+    with pytest.raises(ConflictError, match='table "t" was changed'):
+        db.commit(mine.id)
+    assert rows(db, "SELECT * FROM t") == [(1,), (3,)]
+    mine, theirs = db.begin(), other.begin()
+    mine.sql("INSERT INTO t VALUES (2)")
+    theirs.sql("INSERT INTO u VALUES (5)")
+    other.commit(theirs.id)
+    db.commit(mine.id)  # another table's change is no conflict
+    assert rows(other, "SELECT * FROM t") == [(1,), (2,), (3,)] and rows(db, "SELECT * FROM u") == [(5,)]
+    other.vacuum()
+    other.sql("INSERT INTO u VALUES (6)")
+    other.vacuum()
+    assert rows(db, "SELECT * FROM u") == [(5,), (6,)]
+
+
+def test_ddl_of_two_processes(spark, root, db):
+    other = Engine(spark, root)
+    for k in range(3):
+        other.sql(f"CREATE TABLE o{k} (id INT)")
+        db.sql(f"CREATE TABLE d{k} (id INT)")
+    with pytest.raises(ExecutionError, match="already exists"):
+        db.sql("CREATE TABLE o1 (id INT)")
+    db.sql("DROP TABLE o1")
+    other.sql("DROP TABLE d1")
+    with pytest.raises(ExecutionError, match="does not exist"):
+        other.sql("DROP TABLE o1")
+    assert set(Engine(spark, root).manifest.tables) == {"o0", "o2", "d0", "d2"}
+    assert len({t.table_id for t in Engine(spark, root).manifest.tables.values()}) == 4
+
+
+def _created_apart(root, name, out):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+    engine = Engine(spark, root)
+    for k in range(4):
+        engine.sql(f"CREATE TABLE {name}{k} (id INT)")
+    try:
+        engine.sql("CREATE TABLE both (id INT)")
+        out.put(name)
+    except ExecutionError:
+        out.put(None)
+    spark.stop()
+
+
+def test_ddl_of_two_real_processes(root):
+    start = multiprocessing.get_context("spawn")
+    out = start.Queue()
+    tasks = [start.Process(target=_created_apart, args=(root, n, out)) for n in "pq"]
+    [t.start() for t in tasks]
+    [t.join(120) for t in tasks]
+    assert sorted(map(bool, (out.get(timeout=5), out.get(timeout=5)))) == [False, True]
+    last = max(os.listdir(f"{root}/catalog"))
+    assert sum(f'"{n}{k}"' in open(f"{root}/catalog/{last}").read() for n in "pq" for k in range(4)) == 8
+
+
+def test_concurrent_create(db):
+    made, failed = [], []
+
+    def work(k):
+        try:
+            db.sql(f"CREATE TABLE t (c{k} INT)")
+            made.append(k)
+        except ExecutionError as e:
+            failed.append(str(e))
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(made) == 1 and failed == ['table "t" already exists'] * 7
+    assert db.schema("t").names == [f"c{made[0]}"] and db.manifest.version == 1
 
 
 def test_lazy_results_outlive_later_writes(db):
-    users(db)
-    before = db.sql("SELECT * FROM users")
-    db.sql("DELETE FROM users")
+    parcels(db)
+    before = db.sql("SELECT * FROM parcels")
+    db.sql("DELETE FROM parcels")
     assert before.count() == 2
 
 
@@ -217,25 +382,36 @@ def test_concurrent_inserts(db):
 
 
 def test_bulk_load_and_compaction(spark, db):
-    df = spark.range(500).selectExpr("id", "id * id AS square")
-    db.create_from("nums", df, "id")
-    assert rows(db, "SELECT square FROM nums WHERE id = 100") == [(10000,)]
-    with pytest.raises(ExecutionError, match="duplicate key"):
-        db.load("nums", df.limit(1))
-    with pytest.raises(ExecutionError, match="must be integers"):
-        db.load("nums", spark.sql("SELECT -1L AS id, 0L AS square"))
+    df = spark.range(500).selectExpr("id", "id % 17 AS rest")
+    db.create_from("left", df, "id")
+    assert rows(db, "SELECT rest FROM left WHERE id = 100") == [(15,)]
+    for bad, message in ((df.limit(1), "duplicate key: primary key 0"), (spark.sql("SELECT 700L AS id, 0L AS rest").union(spark.sql("SELECT 700L, 1L")), "duplicate key: primary key 700")):
+        with pytest.raises(ExecutionError, match=message):
+            db.load("left", bad)
+    for bad in ("-1L", "4294967296L", "CAST(NULL AS BIGINT)"):
+        with pytest.raises(ExecutionError, match="must be integers"):
+            db.load("left", spark.sql(f"SELECT {bad} AS id, 0L AS rest"))
     for k in range(3):
-        db.sql(f"INSERT INTO nums VALUES ({1000 + k}, 0)")
-    db.compact("nums")
-    assert len(rows(db, "SELECT id FROM nums")) == 503
+        db.sql(f"INSERT INTO left VALUES ({1000 + k}, 0)")
+    db.load("left", df.limit(0))
+    assert len(db.manifest.tables["left"].files) == 4
+    db.compact("left")
+    assert len(db.manifest.tables["left"].files) == 1
+    assert len(rows(db, "SELECT id FROM left")) == 503
 
 
-def test_external_tables_are_read_only(db):
-    db.register("region", "/root/testdata/sf0.001/region.parquet", "r_regionkey")
+def test_external_tables_are_read_only_and_share_no_name(db):
+    path = "/root/testdata/sf0.001/region.parquet"
+    db.register("region", path, "r_regionkey")
     assert rows(db, "SELECT R_NAME FROM region WHERE r_regionkey < 2")[0][0]
     for sql in ("DELETE FROM region", "UPDATE region SET r_name = 'x'", "INSERT INTO region VALUES (1, 'x')"):
         with pytest.raises(ExecutionError, match="read-only"):
             db.sql(sql)
+    parcels(db)
+    with pytest.raises(ExecutionError, match="already exists"):
+        db.sql("CREATE TABLE region (id INT)")
+    with pytest.raises(ExecutionError, match="already exists"):
+        db.register("parcels", path)
 
 
 def test_store_qualifies_its_root(spark, tmp_path):

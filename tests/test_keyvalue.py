@@ -25,11 +25,13 @@ def test_fields_round_trip(spark, table):
     assert [k for k, _ in scan(KeyValueTable(spark, table.root), 0, (1 << 64) - 1)] == [0, 1, (1 << 64) - 1]
 
 
-def test_range_scan(table):
-    keys = [50, 10, 80, 30, 70, 20, 60, 40, 90, 100, 5, 15, 25, 35, 45]
-    table.put([(k, [(0, k)]) for k in keys])
-    assert [k for k, _ in scan(table, 20, 70)] == [20, 25, 30, 35, 40, 45, 50, 60, 70]
-    assert scan(table, 71, 79) == [] and scan(table, 70, 20) == []
+def test_range_scans_against_a_model(table):
+    """Random unsigned 64-bit keys, both ends of the signed range among them, and random ranges."""
+    rng = random.Random(17)
+    keys = sorted({rng.getrandbits(64) >> rng.randrange(64) for _ in range(200)} | {(1 << 63) - 1, 1 << 63})
+    table.put([(k, [(0, k % 1000)]) for k in rng.sample(keys, len(keys))])
+    for low, high in [tuple(rng.choices(keys, k=2)) for _ in range(6)] + [(keys[-1] - 1, keys[-1]), (3, 2)]:
+        assert scan(table, low, high) == [(k, [(0, k % 1000)]) for k in keys if low <= k <= high]
 
 
 def test_against_a_dict(table):

@@ -71,6 +71,19 @@ def test_parse_errors(sql):
         parse_sql(sql, strict=False)
 
 
+@pytest.mark.parametrize(
+    "sql,clause",
+    [
+        ("INSERT t", "INSERT: "), ("INSERT INTO t VALUES (", "INSERT VALUES: "), ("INSERT INTO t VALUES (1, )", "INSERT VALUES: "), ("INSERT INTO t VALUES (1", "INSERT: "),
+        ("UPDATE SET a = 1", "UPDATE: "), ("UPDATE t SET", "UPDATE SET: "), ("UPDATE t SET a 1", "UPDATE SET: "), ("UPDATE t SET a = ", "UPDATE SET: "), ("UPDATE t SET a = 1 WHERE b", "UPDATE WHERE: "),
+        ("DELETE FROM", "DELETE: "), ("DELETE FROM t WHERE a =", "DELETE WHERE: "), ("SELECT a FROM", "SELECT: "), ("SELECT a FROM t WHERE", "SELECT WHERE: "), ("DROP t", "DROP: "),
+    ],
+)
+def test_errors_name_the_clause(sql, clause):
+    with pytest.raises(ParseError, match=f"^{clause}"):
+        parse_sql(sql)
+
+
 @pytest.mark.parametrize("sql", ["SELECT * FROM t ORDER", "SELECT a FROM t, u", "INSERT INTO t VALUES (1), (2)", "UPDATE t SET a = 1, b = 2 WHERE id = 1", "DELETE FROM t x WHERE id = 1"])
 def test_trailing_tokens(sql):
     with pytest.raises(ParseError, match="after the statement"):
