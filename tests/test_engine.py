@@ -9,6 +9,7 @@ from slateql.engine import Engine
 from slateql.errors import ConflictError, ExecutionError
 from slateql.operators import statements
 from slateql.plans.parser import parse_sql
+from slateql.sources import snapshots
 from slateql.sources.snapshots import DataFile, Store
 
 
@@ -186,6 +187,26 @@ def test_small_changes_keep_untouched_files(wide):
     assert wide.sql("SELECT * FROM wide").count() == 60_020
 
 
+def test_a_small_change_writes_a_small_manifest(wide, root, monkeypatch, spark):
+    monkeypatch.setattr(snapshots, "LIST_FILES", 10)
+    wide.compact("wide")
+    lists = lambda: {n for n in os.listdir(f"{root}/catalog") if n.startswith("files-")}
+    wide.sql("DELETE FROM wide WHERE id = 300000")
+    before = lists()
+    wide.sql("INSERT INTO wide VALUES (5, 1, 'x')")
+    assert len(lists() - before) == 1
+    (new,) = lists() - before
+    assert os.path.getsize(f"{root}/catalog/{new}") < 300 and os.path.getsize(f"{root}/catalog/{max(n for n in os.listdir(f'{root}/catalog') if n.startswith('manifest'))}") < 6_000
+    for k in range(40):
+        wide.sql(f"INSERT INTO wide VALUES ({600_000 + k}, 1, 'x')")
+    assert len(wide.store._lists) < 100 // 10 + 2 * snapshots.SMALL_LISTS + 2
+    again = Engine(spark, root)
+    assert set(again.manifest.tables["wide"].files) == set(wide.manifest.tables["wide"].files)
+    again.vacuum()
+    assert lists() == set(again.store._lists) and again.sql("SELECT * FROM wide").count() == 60_040
+    wide.sql("INSERT INTO wide VALUES (15, 1, 'x')")
+
+
 def test_statements_read_only_files_of_their_keys(wide):
     table = wide.manifest.tables["wide"]
     some = lambda where: len(statements.in_range(table, parse_sql(f"SELECT * FROM wide WHERE {where}").where))
