@@ -294,24 +294,24 @@ def test_crash_between_write_and_publish(spark, root, db):
 
 def test_processes_see_each_other_and_conflict(spark, root, db):
     """Two engines over one root stand for two processes."""
-    db.sql("CREATE TABLE t (id INT)")
+    db.sql("CREATE TABLE t (id INT, v INT)")
     db.sql("CREATE TABLE u (id INT)")
     other = Engine(spark, root)
-    other.sql("INSERT INTO t VALUES (1)")
-    assert rows(db, "SELECT * FROM t") == [(1,)]
+    other.sql("INSERT INTO t VALUES (1, 1)")
+    assert rows(db, "SELECT id FROM t") == [(1,)]
     mine, theirs = db.begin(), other.begin()
-    mine.sql("INSERT INTO t VALUES (2)")
-    theirs.sql("INSERT INTO t VALUES (3)")
+    mine.sql("UPDATE t SET v = 2")
+    theirs.sql("INSERT INTO t VALUES (3, 3)")
     other.commit(theirs.id)
     with pytest.raises(ConflictError, match='table "t" was changed'):
         db.commit(mine.id)
-    assert rows(db, "SELECT * FROM t") == [(1,), (3,)]
+    assert rows(db, "SELECT id FROM t") == [(1,), (3,)]
     mine, theirs = db.begin(), other.begin()
-    mine.sql("INSERT INTO t VALUES (2)")
+    mine.sql("INSERT INTO t VALUES (2, 2)")
     theirs.sql("INSERT INTO u VALUES (5)")
     other.commit(theirs.id)
     db.commit(mine.id)  # another table's change is no conflict
-    assert rows(other, "SELECT * FROM t") == [(1,), (2,), (3,)] and rows(db, "SELECT * FROM u") == [(5,)]
+    assert rows(other, "SELECT id FROM t") == [(1,), (2,), (3,)] and rows(db, "SELECT * FROM u") == [(5,)]
     other.vacuum()
     other.sql("INSERT INTO u VALUES (6)")
     other.vacuum()
@@ -402,6 +402,79 @@ def test_concurrent_inserts(db):
     assert rows(db, "SELECT * FROM t") == sorted((10 * k + i,) for k in range(4) for i in range(3))
 
 
+def waits(action):
+    """A thread that runs it, once it is known to wait."""
+    thread = threading.Thread(target=action)
+    thread.start()
+    thread.join(1)
+    assert thread.is_alive()
+    return thread
+
+
+def test_inserts_of_different_keys_go_side_by_side(db):
+    parcels(db)
+    a, b = db.begin(), db.begin()
+    a.sql("INSERT INTO parcels VALUES (1, 'a', 1)")
+    b.sql("INSERT INTO parcels VALUES (2, 'b', 1)")
+    a.sql("INSERT INTO parcels VALUES (3, 'a', 1)")
+    assert [r[0] for r in b.sql("SELECT no FROM parcels").collect()] == [2, 4, 7]
+    db.commit(b.id)
+    db.commit(a.id)
+    assert rows(db, "SELECT no FROM parcels") == [(1,), (2,), (3,), (4,), (7,)]
+
+
+def test_inserts_of_one_key_follow_each_other(db):
+    parcels(db)
+    a, b, refused = db.begin(), db.begin(), []
+    a.sql("INSERT INTO parcels VALUES (1, 'a', 1)")
+
+    def second():
+        try:
+            b.sql("INSERT INTO parcels VALUES (1, 'b', 1)")
+        except ExecutionError as e:
+            refused.append(str(e))
+
+    thread = waits(second)
+    db.commit(a.id)
+    thread.join()
+    assert refused == ['duplicate key: primary key 1 already exists in table "parcels"']
+    db.rollback(b.id)
+    a = db.begin()
+    a.sql("INSERT INTO parcels VALUES (2, 'a', 1)")
+    b = db.begin()
+    thread = waits(lambda: b.sql("INSERT INTO parcels VALUES (2, 'b', 1)"))
+    db.rollback(a.id)
+    thread.join()
+    db.commit(b.id)
+    assert rows(db, "SELECT town FROM parcels WHERE no < 4") == [("a",), ("b",)]
+
+
+def test_updates_wait_for_inserts_and_see_them(db):
+    parcels(db)
+    a, b = db.begin(), db.begin()
+    a.sql("INSERT INTO parcels VALUES (1, 'a', 1)")
+    b.sql("INSERT INTO parcels VALUES (2, 'b', 1)")
+    thread = waits(lambda: b.sql("UPDATE parcels SET grams = 9 WHERE no < 4"))  # its shared lock is given up for the exclusive one
+    db.commit(a.id)
+    thread.join()
+    assert [tuple(r) for r in b.sql("SELECT no, grams FROM parcels").collect()] == [(1, 9), (2, 9), (4, 95), (7, 410)]
+    db.commit(b.id)
+    assert rows(db, "SELECT no, grams FROM parcels WHERE grams = 9") == [(1, 9), (2, 9)]
+
+
+def test_one_key_inserted_by_two_processes(spark, root, db):
+    parcels(db)
+    other = Engine(spark, root)
+    mine, theirs = db.begin(), other.begin()
+    mine.sql("INSERT INTO parcels VALUES (1, 'a', 1)")
+    mine.sql("INSERT INTO parcels VALUES (9, 'a', 1)")
+    theirs.sql("INSERT INTO parcels VALUES (9, 'b', 1)")
+    other.commit(theirs.id)
+    with pytest.raises(ConflictError, match="primary key 9"):
+        db.commit(mine.id)
+    assert rows(db, "SELECT no, town FROM parcels") == [(4, "turin"), (7, "oslo"), (9, "b")]
+
+
 def test_bulk_load_and_compaction(spark, db):
     df = spark.range(500).selectExpr("id", "id % 17 AS rest")
     db.create_from("left", df, "id")
