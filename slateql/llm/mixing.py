@@ -199,7 +199,7 @@ def _by_epochs(blocks: DataFrame, phases: list[Phase]) -> DataFrame:
     return blocks.join(slots, ["group", "block"]).select(*blocks.columns, "slot", "release", "deadline")
 
 
-def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_rows: int = 16, bucket_rows: int = 8_192, source: str = "source", key: str = "doc_id", name: str = "__mixed", longest: int = LONGEST) -> DataFrame:
+def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_rows: int = 16, bucket_rows: int = 2_048, source: str = "source", key: str = "doc_id", name: str = "__mixed", longest: int = LONGEST) -> DataFrame:
     """``df`` and ``name``, a struct of source (null: other), block, within, slot, release and deadline; (slot, within) order the mixture."""
     if name in df.columns:
         raise ValueError(f"column {name} is there already")
@@ -209,13 +209,13 @@ def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_r
     digest = F.xxhash64(*[c for c in df.columns if hashable(df.schema[c].dataType)])
     grouped = df.select(F.struct("*").alias("row"), group.alias("group"), digest.alias("h"))
     counts = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()}
-    buckets = spark.createDataFrame([(g, max(1, n // bucket_rows)) for g, n in counts.items()], "group int, buckets bigint")
+    buckets = spark.createDataFrame([(g, -(-n // bucket_rows)) for g, n in counts.items()], "group int, buckets bigint")
     dealt = grouped.join(F.broadcast(buckets), "group").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
 
     sizes = dealt.groupBy("group", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("group", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    offsets = F.broadcast(offsets) if sum(n // bucket_rows + 1 for n in counts.values()) <= MAX_BROADCAST else offsets
+    offsets = F.broadcast(offsets) if sum(-(-n // bucket_rows) for n in counts.values()) <= MAX_BROADCAST else offsets
     within = Window.partitionBy("group", "bucket").orderBy("h", F.col("row")[key])
     rank = F.col("before") + F.row_number().over(within) - 1
     ranked = dealt.join(offsets, ["group", "bucket"]).select("row", "group", rank.alias("rank"))

@@ -213,11 +213,11 @@ class _Packer:
 _FILES, _ROWS, _SEQUENCES = 20, 24, 19
 
 
-def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text", in_file_order: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text", in_file_order: bool = False, cached_words: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, tier, step_group.
 
     ``tokenizer`` is the path of a tokenizer file that drops white space before it merges. ``in_file_order`` is for a ``df`` read from Parquet
-    files named part-<number>-..., at most a million of them with 16 million rows each.
+    files named part-<number>-..., at most a million of them with 16 million rows each. A worker keeps the ids of up to twice ``cached_words`` words.
     """
     plan = plan or PackingPlan()
     end = np.array([plan.end_id], "<u4").tobytes()
@@ -234,7 +234,7 @@ def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = Non
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer))
+        words = per_process(("word ids", tokenizer, cached_words), lambda: WordIds(tokenizer, cached_words))
         task, packer, current = TaskContext.get().partitionId(), None, None
         rows, size = [], 0
 

@@ -13,4 +13,6 @@ SOURCE_WEIGHTS = {f"src{k}": (1, 2, 3, 4)[k % 4] for k in range(20)}
 OTHER_WEIGHT = 1
 #: Similarity of near duplicates in the pipeline, in hundredths.
 NEAR_PERCENT = 80
+#: Words whose ids a worker of the pipeline keeps; fewer than alone, as other stages have filled the workers' memory before.
+PIPELINE_WORDS = 120_000
 PII_KEY = "corpus-2025"
