@@ -54,7 +54,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(docs, settings.TOKENIZER, in_file_order=True)
+    pieces = packing.pack_documents(docs, settings.TOKENIZER, in_file_order=True, cached_words=settings.PIPELINE_WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
