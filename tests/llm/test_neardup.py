@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from slateql.llm import graph
 from slateql.llm.graph import components
 from slateql.llm.neardup import _in_parts, near_duplicates
 from slateql.llm.survivors import drop_near_duplicates
@@ -137,7 +138,9 @@ def test_empty_table(spark):
     assert found(spark, []) == {}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MOST_EDGES", most)
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100)] + [(200, 200 + k) for k in range(1, 50)] + [tuple(rng.sample(range(300, 340), 2)) for _ in range(25)] + [(7, 7), (None, 3)]
     up = {}
