@@ -41,7 +41,7 @@ from fractions import Fraction
 from math import gcd, lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slateql.llm.exprs import hashable
@@ -199,14 +199,17 @@ def _by_epochs(blocks: DataFrame, phases: list[Phase]) -> DataFrame:
     return blocks.join(slots, ["group", "block"]).select(*blocks.columns, "slot", "release", "deadline")
 
 
-def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_rows: int = 16, bucket_rows: int = 2_048, source: str = "source", key: str = "doc_id", name: str = "__mixed", longest: int = LONGEST) -> DataFrame:
-    """``df`` and ``name``, a struct of source (null: other), block, within, slot, release and deadline; (slot, within) order the mixture."""
+def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_rows: int = 16, bucket_rows: int = 2_048, source: str = "source", key: str = "doc_id", name: str = "__mixed", longest: int = LONGEST, order: Column | None = None) -> DataFrame:
+    """``df`` and ``name``, a struct of source (null: other), block, within, slot, release and deadline; (slot, within) order the mixture.
+
+    ``order`` is a bigint, by default a hash of all columns, that puts a source's rows in order and into buckets.
+    """
     if name in df.columns:
         raise ValueError(f"column {name} is there already")
     spark, sources = df.sparkSession, list(weights)
     whole = exact_weights([*weights.values(), other])
     group = F.coalesce(*[F.when(F.col(source) == s, F.lit(k)) for k, s in enumerate(sources)], F.lit(len(sources)))
-    digest = F.xxhash64(*[c for c in df.columns if hashable(df.schema[c].dataType)])
+    digest = order if order is not None else F.xxhash64(*[c for c in df.columns if hashable(df.schema[c].dataType)])
     grouped = df.select(F.struct("*").alias("row"), group.alias("group"), digest.alias("h"))
     counts = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()}
     buckets = spark.createDataFrame([(g, -(-n // bucket_rows)) for g, n in counts.items()], "group int, buckets bigint")

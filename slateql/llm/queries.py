@@ -150,10 +150,35 @@ FROM s
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars")
-    mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT)
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", "doc_id", "source", "lang", "n_chars")), 1, 15), 16, 10).cast("bigint")
+    mixed = mixing.mix(docs, settings.SOURCE_WEIGHTS, settings.OTHER_WEIGHT, block_rows=MIX_BLOCK, bucket_rows=MIX_BUCKET, order=order)
     return mixed.select("doc_id", "source", *[F.col(f"__mixed.{c}").alias(c) for c in ("block", "within", "slot", "release", "deadline")])
 
 
+MIX_BLOCK, MIX_BUCKET = 16, 2_048
+_SOURCES = ", ".join(f"({i}, '{s}', {w})" for i, (s, w) in enumerate(settings.SOURCE_WEIGHTS.items(), 1))
+_OTHERS = len(settings.SOURCE_WEIGHTS) + 1
+# One step a slot: of the sources with blocks left and one released, the earliest deadline; anew when a source runs out.
+ORACLE_SQL["op3_mixing"] = f"""
+WITH RECURSIVE src AS (SELECT * FROM (VALUES {_SOURCES}, ({_OTHERS}, NULL, {settings.OTHER_WEIGHT})) AS t(i, name, w)),
+d AS (SELECT doc_id, source, coalesce(i, {_OTHERS}) AS i, ('0x' || substr(md5(concat_ws('|', doc_id, source, lang, n_chars)), 1, 15))::BIGINT AS h FROM documents LEFT JOIN src ON name = source),
+n AS (SELECT i, count(*) AS n FROM d GROUP BY i),
+r AS (SELECT doc_id, source, d.i, row_number() OVER (PARTITION BY d.i ORDER BY h % ((n + {MIX_BUCKET - 1}) // {MIX_BUCKET}), h, doc_id) - 1 AS r FROM d JOIN n USING (i)),
+p AS (SELECT list(w::BIGINT ORDER BY i) AS w, list((coalesce(n, 0) + {MIX_BLOCK - 1}) // {MIX_BLOCK} ORDER BY i) AS b, list(0::BIGINT) AS none FROM src LEFT JOIN n USING (i)),
+s AS (
+  SELECT -1::BIGINT AS slot, 0::BIGINT AS t, 0::BIGINT AS start, none AS had, none AS done, NULL::BIGINT AS i, NULL::BIGINT AS block, NULL::BIGINT AS release, NULL::BIGINT AS deadline FROM p
+  UNION ALL
+  SELECT slot + 1, CASE WHEN over THEN 0 ELSE t + 1 END, CASE WHEN over THEN slot + 2 ELSE start END,
+    CASE WHEN over THEN none ELSE list_transform(had, lambda x, k: CASE WHEN k = pick THEN x + 1 ELSE x END) END,
+    list_transform(done, lambda x, k: CASE WHEN k = pick THEN x + 1 ELSE x END), pick, done[pick], start + had[pick] * q // w[pick], start + ((had[pick] + 1) * q + w[pick] - 1) // w[pick]
+  FROM (SELECT *, done[pick] + 1 = b[pick] AS over FROM (
+    SELECT *, list_min(list_transform(list_filter(range(1, {_OTHERS + 1}), lambda k: done[k] < b[k] AND had[k] * q // w[k] <= t), lambda k: ((had[k] + 1) * q + w[k] - 1) // w[k] * 1000 + k)) % 1000 AS pick
+    FROM (SELECT s.slot, s.t, s.start, s.had, s.done, p.w, p.b, p.none, list_sum(list_transform(range(1, {_OTHERS + 1}), lambda k: CASE WHEN s.done[k] < p.b[k] THEN p.w[k] ELSE 0 END))::BIGINT AS q FROM s, p)
+    WHERE q > 0)))
+SELECT doc_id, source, block, r % {MIX_BLOCK} AS within, slot, release, deadline FROM r JOIN s ON s.i = r.i AND s.block = r // {MIX_BLOCK}
+"""
+
+
 # --- 4: packing
 
 
@@ -175,6 +200,26 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "text", F.col("__cut.lines").cast("bigint").alias("n_cut_lines"))
 
 
+# A line goes if a run of lines with 25 words or more, the shortest from or up to some line, stands in an earlier document as well.
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+ORACLE_SQL["op5_lines"] = f"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS raw_lines FROM documents WHERE text IS NOT NULL),
+w AS (SELECT *, len(regexp_extract_all(line, '{_WORDS}')) AS n FROM (SELECT doc_id, unnest(raw_lines) AS line, generate_subscripts(raw_lines, 1) AS raw FROM d) WHERE regexp_matches(line, '{_WORDS}')),
+c AS (SELECT *, row_number() OVER p AS no, sum(n) OVER p AS upto FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY raw)),
+p AS (SELECT a.doc_id, a.no AS s, b.no AS t FROM c a ASOF JOIN c b ON a.doc_id = b.doc_id AND a.upto - a.n + 25 <= b.upto
+      UNION SELECT b.doc_id, a.no, b.no FROM c b ASOF JOIN c a ON a.doc_id = b.doc_id AND b.upto - 25 >= a.upto - a.n),
+k AS (SELECT doc_id, list(line ORDER BY no) AS lines FROM c GROUP BY doc_id),
+h AS (SELECT doc_id, s, t, min(doc_id) OVER (PARTITION BY part) AS first FROM (SELECT p.doc_id, s, t, lines[s:t] AS part FROM p JOIN k USING (doc_id))),
+m AS (SELECT DISTINCT doc_id, unnest(range(s, t + 1)) AS no FROM h WHERE first < doc_id),
+g AS (SELECT doc_id, raw, CASE WHEN lead(no) OVER p = no + 1 THEN lead(raw) OVER p ELSE raw + 1 END AS upto FROM m JOIN c USING (doc_id, no) WINDOW p AS (PARTITION BY doc_id ORDER BY no)),
+x AS (SELECT doc_id, list(r) AS gone FROM (SELECT doc_id, unnest(range(raw, upto)) AS r FROM g) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text
+    ELSE array_to_string(list_transform(list_filter(range(1, len(raw_lines) + 1), lambda i: NOT list_contains(gone, i)), lambda i: raw_lines[i]), chr(10)) END AS text,
+  coalesce(len(gone), 0)::BIGINT AS n_cut_lines
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 # --- 6: URL filters
 
 URL_RULES = [
