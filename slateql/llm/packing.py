@@ -32,6 +32,7 @@ import os
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from string import ascii_lowercase
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,8 @@ class WordIds:
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         #: How the tokenizer spells the letters up to U+00FF before it merges.
         self.spelling = str.maketrans({c: cut.pre_tokenize_str(c)[0][0] for c in letters if c == c.lower()})
+        #: Whether a-z are spelled as they are.
+        self.plain = all(self.spelling[ord(c)] == c for c in ascii_lowercase)
         self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         self.marks = {m: self._whole(m) for m in ".,"}
         #: Whether upper case is folded; if not, words with any are left to the tokenizer.
@@ -103,8 +106,14 @@ class WordIds:
         """Letters up to U+00FF need no normalising but folding, and are one piece; a mark behind them is another."""
         mark = self.marks.get(word[-1], b"")
         bare = word[:-1] if mark else word
-        if bare.isalpha() and max(bare) <= "\xff" and (self.folds or bare == bare.lower()):
-            return b"".join([self.packed[t.id] for t in self.model.tokenize(bare.lower().translate(self.spelling))]) + mark
+        if bare.isalpha() and (self.folds or bare == bare.lower()):
+            spelled = None
+            if self.plain and bare.isascii():
+                spelled = bare.lower()
+            elif max(bare) <= "\xff":
+                spelled = bare.lower().translate(self.spelling)
+            if spelled is not None:
+                return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)]) + mark
         return self._whole(word)
 
     def encode(self, text: str) -> bytes:
@@ -213,7 +222,7 @@ class _Packer:
 _FILES, _ROWS, _SEQUENCES = 20, 24, 19
 
 
-def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text", in_file_order: bool = False, cached_words: int = 300_000) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = None, doc_id: str = "doc_id", text: str = "text", in_file_order: bool = False, cached_words: int = 600_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, tier, step_group.
 
     ``tokenizer`` is the path of a tokenizer file that drops white space before it merges. ``in_file_order`` is for a ``df`` read from Parquet
