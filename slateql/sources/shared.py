@@ -20,13 +20,15 @@ _PREFIX = "slateql-"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    found, used = spark.conf.get("spark.checkpoint.dir", None), context.getCheckpointDir()
+    if found is None and used is None:
+        if context.master != "local" and not context.master.startswith("local["):
             raise ExecutionError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="slateql-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if used is None:
+        context.setCheckpointDir(found)
+    return (found or used).rstrip("/")
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
