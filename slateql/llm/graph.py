@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateql.llm.process import tidy
 from slateql.sources.shared import shared_folder
 
 
@@ -68,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     current = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if current.count() <= MOST_EDGES:
-        return current.coalesce(1).mapInArrow(_joined, "id bigint, component bigint")
+        return current.coalesce(1).mapInArrow(tidy(_joined), "id bigint, component bigint")
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(current)
     while True:

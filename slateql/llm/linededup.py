@@ -52,6 +52,7 @@ from pyspark.sql import functions as F
 
 from slateql.llm.exprs import BLANKS, words
 from slateql.llm.graph import checkpointed
+from slateql.llm.process import tidy
 
 #: A line of at most so many occurrences pairs all its holders; more frequent ones pair by windows.
 RARE = 4
@@ -261,7 +262,7 @@ def _keys(min_words: int):
 
 def document_pairs(shared: DataFrame, min_words: int) -> DataFrame:
     """Distinct (doc_id, h, partner, partner_h): a later text and an earlier one to align it with."""
-    keys = checkpointed(shared.select("doc_id", "h", "no", "n", "h1", "h2", "rare").mapInArrow(_keys(min_words), "rare boolean, key binary, doc_id bigint, h bigint"))
+    keys = checkpointed(shared.select("doc_id", "h", "no", "n", "h1", "h2", "rare").mapInArrow(tidy(_keys(min_words)), "rare boolean, key binary, doc_id bigint, h bigint"))
     holders = keys.where("rare").groupBy("key").agg(F.collect_set(F.struct("doc_id", "h")).alias("x"))  # at most RARE each
     later = F.transform("x", lambda a: F.transform(F.filter("x", lambda e: e["doc_id"] < a["doc_id"]), lambda e: F.struct(a.alias("a"), e.alias("e"))))
     rare = holders.select(F.explode(F.flatten(later)).alias("p")).select("p.a.doc_id", "p.a.h", F.col("p.e.doc_id").alias("partner"), F.col("p.e.h").alias("partner_h"))
@@ -340,7 +341,7 @@ def line_cuts(df: DataFrame, min_words: int = 25, doc_id: str = "doc_id", text:
     own = shared.join(pairs.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").select("doc_id", "h", F.lit(None).cast("bigint").alias("partner"), F.lit(None).cast("bigint").alias("partner_h"), *lines)
     there = pairs.join(shared.select(F.col("doc_id").alias("partner"), F.col("h").alias("partner_h"), *lines), ["partner", "partner_h"]).select(*own.columns)
     dealt = own.union(there).repartition("doc_id", "h").sortWithinPartitions("doc_id", "h", F.col("partner").asc_nulls_first(), "partner_h")
-    return dealt.drop("partner_h").mapInArrow(_aligned(min_words), _CUTS_DDL)
+    return dealt.drop("partner_h").mapInArrow(tidy(_aligned(min_words)), _CUTS_DDL)
 
 
 def cut_lines(df: DataFrame, cuts: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "__cut") -> DataFrame:

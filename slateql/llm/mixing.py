@@ -41,10 +41,11 @@ from fractions import Fraction
 from math import gcd, lcm
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slateql.llm.exprs import hashable
+from slateql.llm.process import tidy
 
 MAX_SOURCES = 1_000
 #: Slots that are simulated at a time.
@@ -160,12 +161,20 @@ def schedule(blocks: Sequence[int], weights: Sequence[int], longest: int = LONGE
     return out
 
 
+def _table(spark: SparkSession, rows: Sequence[tuple], schema: pa.Schema) -> DataFrame:
+    """A small table, read from Arrow by the JVM; executors would start further Python workers for a list of rows."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema))
+
+
+_PHASES = pa.schema([("p_group", pa.int32()), *[(c, pa.int64()) for c in ("p_first", "p_end", "w", "q", "start")], ("slots", pa.list_(pa.int64()))])
+
+
 def _by_arithmetic(blocks: DataFrame, phases: list[Phase]) -> DataFrame:
     rows = []
     for p in phases:
         slots = epoch_slots(p.weights, 0, p.epoch)
         rows += [(s, f, f + n, w, p.epoch, p.start, t) for s, f, n, w, t in zip(p.sources, p.first, p.placed, p.weights, slots)]
-    table = blocks.sparkSession.createDataFrame(rows, "p_group int, p_first bigint, p_end bigint, w bigint, q bigint, start bigint, slots array<bigint>")
+    table = _table(blocks.sparkSession, rows, _PHASES)
     at = (F.col("group") == F.col("p_group")) & (F.col("block") >= F.col("p_first")) & (F.col("block") < F.col("p_end"))
     k = "(block - p_first)"
     return blocks.join(F.broadcast(table), at).select(
@@ -194,7 +203,7 @@ def _by_epochs(blocks: DataFrame, phases: list[Phase]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _SLOTS)], schema=_SLOTS)
 
     tasks = max(1, min(total, spark.sparkContext.defaultParallelism * 4))
-    slots = spark.range(0, total, 1, tasks).mapInArrow(emit, "group int, block bigint, slot bigint, release bigint, deadline bigint")
+    slots = spark.range(0, total, 1, tasks).mapInArrow(tidy(emit), "group int, block bigint, slot bigint, release bigint, deadline bigint")
     slots = F.broadcast(slots) if sum(p.end for p in phases) <= MAX_BROADCAST else slots
     return blocks.join(slots, ["group", "block"]).select(*blocks.columns, "slot", "release", "deadline")
 
@@ -212,7 +221,7 @@ def mix(df: DataFrame, weights: Mapping[str, float], other: float = 1.0, block_r
     digest = order if order is not None else F.xxhash64(*[c for c in df.columns if hashable(df.schema[c].dataType)])
     grouped = df.select(F.struct("*").alias("row"), group.alias("group"), digest.alias("h"))
     counts = {r["group"]: r["count"] for r in grouped.groupBy("group").count().collect()}
-    buckets = spark.createDataFrame([(g, -(-n // bucket_rows)) for g, n in counts.items()], "group int, buckets bigint")
+    buckets = _table(spark, [(g, -(-n // bucket_rows)) for g, n in counts.items()], pa.schema([("group", pa.int32()), ("buckets", pa.int64())]))
     dealt = grouped.join(F.broadcast(buckets), "group").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
 
     sizes = dealt.groupBy("group", "bucket").agg(F.count("*").alias("n"))

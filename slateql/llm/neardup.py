@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slateql.llm.graph import checkpointed, components
-from slateql.llm.process import per_process
+from slateql.llm.process import per_process, tidy
 from slateql.llm.shingles import WordHashes, mixed, shingle_set
 
 COORDS = 64
@@ -408,20 +408,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
     ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", "partner", "id")
-    return ordered.mapInArrow(emit, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(tidy(emit), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, small: int = 24, block: int = 2_048, max_depth: int = 12, held: int = 500_000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     similarity = percent / 100
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sketched = checkpointed(docs.mapInArrow(_sketches(width), _SKETCH_DDL))
+    sketched = checkpointed(docs.mapInArrow(tidy(_sketches(width)), _SKETCH_DDL))
     classed = sketched.where("n > 0 AND doc_id IS NOT NULL")
     reps = checkpointed(classed.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("b1", "b2", "sig")]))
 
     roots = reps.withColumn("node", F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(trees)])))
     first = _branch(roots, similarity, ["rep", "n", "b1", "b2", F.col("rep").alias("comp")])
-    found = checkpointed(_by_node(first).mapInArrow(_compare(similarity, small), "kind tinyint, a bigint, b bigint"))
+    found = checkpointed(_by_node(first).mapInArrow(tidy(_compare(similarity, small)), "kind tinyint, a bigint, b bigint"))
     links = checkpointed(_confirmed(found.where(F.col("kind") == PAIR).select("a", "b"), docs, width, percent))
     joined = checkpointed(components(links))
 
@@ -437,14 +437,14 @@ def near_duplicates(df: DataFrame, percent: int = 80, width: int = 5, trees: int
         children = _branch(rows, similarity, [*_NODE[1:], "sig"])
         last = depth == max_depth
         children = _in_parts(children, F.lit(1), block) if last else children
-        rows = checkpointed(_by_node(children, "sig").mapInArrow(_level(similarity, None if last else block), _LEVEL_DDL))
+        rows = checkpointed(_by_node(children, "sig").mapInArrow(tidy(_level(similarity, None if last else block)), _LEVEL_DDL))
         active.append(rows.where(F.col("kind") == ACTIVE).select(*_NODE))
     rest = checkpointed(reduce(DataFrame.union, active))
     if not rest.isEmpty():
         texts = _texts(docs, rest.select(F.col("rep").alias("id")).distinct())
-        sets = texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(_shingled(width), "rep bigint, shingles binary")
+        sets = texts.select(F.col("doc_id").alias("rep"), F.col("text").cast("binary").alias("text")).mapInArrow(tidy(_shingled(width)), "rep bigint, shingles binary")
         whole = _in_parts(rest, F.col("n"), held).join(sets, "rep")
-        links = links.union(_by_node(whole, "shingles").mapInArrow(_full_compare(percent), "a bigint, b bigint"))
+        links = links.union(_by_node(whole, "shingles").mapInArrow(tidy(_full_compare(percent)), "a bigint, b bigint"))
         joined = checkpointed(components(links))
 
     placed = reps.select("h1", "h2", "n", "rep").join(joined, F.col("rep") == F.col("id"), "left").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("n").alias("__n"), F.coalesce("component", "rep").alias("component_id"))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slateql.llm.process import per_process
+from slateql.llm.process import per_process, tidy
 
 PIECES = pa.schema(
     [
@@ -276,4 +276,4 @@ def pack_documents(df: DataFrame, tokenizer: str, plan: PackingPlan | None = Non
     none = F.lit(None).cast("bigint")
     file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint") if in_file_order else none
     row = F.col("_metadata.row_index") if in_file_order else none
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), file.alias("file"), row.alias("row")).mapInArrow(emit, PIECES_DDL)
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), file.alias("file"), row.alias("row")).mapInArrow(tidy(emit), PIECES_DDL)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateql.llm.exprs import kept_as
-from slateql.llm.process import per_process
+from slateql.llm.process import per_process, tidy
 
 DECAY, SPAN = 0.6, 6
 TABLE_BITS = 20
@@ -368,7 +368,7 @@ def score(df: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text
             scored = pa.array(own.score(np.array(found).reshape(len(found), -1)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], scored], names=[*[f"__k{i}" for i in range(n)], "score"])
 
-    out = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(read)]).mapInArrow(emit, ddl)
+    out = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(read)]).mapInArrow(tidy(emit), ddl)
     return out.select(*kept_as(keep, [name]), F.col("score").alias(name))
 
 

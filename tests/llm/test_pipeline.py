@@ -1,6 +1,10 @@
 import random
+import re
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
@@ -8,7 +12,8 @@ import pytest
 import test_linededup
 import test_mixing
 import test_neardup
-from slateql.llm import toxicity
+from pyspark import TaskContext
+from slateql.llm import mixing, process, toxicity
 from slateql.sources.shared import remove_folders
 from tokenizers import Tokenizer
 
@@ -156,3 +161,31 @@ def test_training_never_reads_held_out_labels(spark, folder):
     path, _ = folder
     labels = spark.read.parquet(f"{path}/labels.parquet").where(~toxicity.held_out())
     assert labels.where(toxicity.held_out()).count() == 0
+
+
+def test_workers_keep_no_free_memory_or_unused_cache(spark, folder, monkeypatch):
+    frame, shipped = type(spark.range(0)), []
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: shipped.append(f) or real(self, f, *a, **b))
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder[0])
+    assert len(shipped) >= 7
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    monkeypatch.setattr(TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    for f in shipped:
+        process.per_process("of another stage", list)
+        blocks = [bytearray(100_000) for _ in range(600)]
+        del blocks[:-1]  # 60 MB are free below the last one
+        before = held()
+        list(f(iter([])))
+        assert before - held() > 40
+        assert sys.modules["slateql_worker_cache"].key != "of another stage"
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 3}, {"a": 0.0001, "b": 1.2345}])
+def test_mixing_starts_no_further_workers(spark, weights):
+    docs = spark.range(50).selectExpr("id AS doc_id", "array('a', 'b', 'c')[id % 3] AS source")
+    mixed = mixing.mix(docs, weights, longest=64)
+    assert "ExistingRDD" not in mixed._jdf.queryExecution().toString()
+    assert mixed.count() == 50
