@@ -3,15 +3,17 @@
 The key ranges in the manifest leave out files that no row of a statement can lie in. UPDATE and DELETE rewrite
 only the files that hold a matching row: a first pass
 with the pushed-down predicate names them, the rest are carried over by name. Small files are merged by size: ``FAN`` of about
-one size become one, so a row is rewritten once for every ``FAN``-fold growth, and a file of half ``TARGET`` bytes or more is left alone.
+one size become one, so a row is rewritten once for every ``FAN``-fold growth, and a file of half ``TARGET`` bytes or half ``MOST_ROWS`` rows or more is left alone.
+Loads sort a full file's rows a task, so a task's memory does not grow with the table.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,10 @@ from slateql.sources.external import External
 from slateql.sources.snapshots import DataFile, Store, Table
 
 MOST_COLUMNS = 255
-#: Bytes of a full data file.
-TARGET = 128 << 20
+#: Bytes of a full data file, and its rows where these are small or compress well.
+TARGET, MOST_ROWS = 128 << 20, 1 << 20
+#: A row takes about so many times its bytes in a file while it is sorted, where a column takes ``_CELL`` bytes and a text its length besides.
+_PACKED, _CELL = 4, 8
 #: So many small files of a size are merged into one.
 FAN = 16
 _LEAST_TIER = 4 << 10
@@ -141,46 +145,64 @@ def delete(s: syntax.Delete, table: Table, store: Store) -> Table:
     return _rewritten(table, store, s.where, lambda rows: rows.where(~holds(s.where, table.schema)))
 
 
-def _ordered(rows: DataFrame, key: Column, size: int) -> DataFrame:
-    """``rows`` of about ``size`` bytes in key order, in partitions of disjoint ranges and ``TARGET`` bytes."""
-    n = max(1, math.ceil(size / TARGET))
-    if n == 1:
-        return rows.coalesce(1).sortWithinPartitions(key)
-    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartitionByRange(n, key) if n < most else rows.repartitionByRange(key)).sortWithinPartitions(key)
+def _weight(table: Table, rows: int, size: int) -> int:
+    """``size`` bytes of Parquet, or more where the rows count for more: a full file weighs ``TARGET``."""
+    return max(size, rows * TARGET // MOST_ROWS, rows * len(table.schema.fields) * _CELL // _PACKED)
+
+
+def _ordered(rows: DataFrame, key: Column, weight: int) -> DataFrame:
+    """``rows`` in key order, in partitions of disjoint ranges and about the weight of a full file."""
+    n = math.ceil(weight / TARGET)
+    return (rows.repartitionByRange(n, key) if n > 1 else rows.coalesce(1)).sortWithinPartitions(key)
+
+
+def _measured(rows: DataFrame, table: Table) -> int:
+    """About what ``rows`` weigh, by one pass that counts rows and bytes of text."""
+    texts = [F.coalesce(F.octet_length(column(f.name)), F.lit(0)) for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    found = rows.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0)).cast("long")).alias("text")).first()
+    return _weight(table, found.n, (found.n * len(table.schema.fields) * _CELL + (found.text or 0)) // _PACKED)
 
 
 def load(df: DataFrame, table: Table, store: Store) -> Table:
-    """Bulk load (an extension): rows are written in key order and then checked for key type, range and uniqueness.
+    """Bulk load (an extension): rows are written in key order and checked for key type, range and uniqueness.
 
-    Written keys are compared with each other, and with those of the older files whose ranges they reach into.
-    The number of files follows the planner's estimate of the input's bytes.
+    Equal keys are neighbours where they are written, and are seen there. Keys are then compared with those of the older files
+    whose ranges they reach into. The input is evaluated to measure it and to write it, and for samples of its keys if it fills several files.
     """
     wrong = ExecutionError(f"keys of table {quoted(table.name)} must be integers from 0 to {literals.MOST_KEY}")
     if table.key_type != "INT":
         raise wrong
     key, table = column(table.key), flushed(table, store)
     rows = df.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields])
-    estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    sized = _ordered(rows, key, estimate) if estimate > TARGET else rows.repartition(1).sortWithinPartitions(key)
+    weight = _measured(rows, table)
+    alike, seen = "n" * (1 + max(map(len, rows.columns))), Observation()  # a name that no column has
+    ordered = _ordered(rows if weight > TARGET else rows.repartition(1), key, weight).withColumn(alike, F.count("*").over(Window.partitionBy(key)))
+    checked = ordered.observe(seen, F.min(F.when(F.col(alike) > 1, key)).alias("twice")).drop(alike)
     try:
-        new = store.write(sized, table)
+        new = store.write(checked, table)
     except ExecutionError:
         raise wrong from None
     if any(f.low < 0 or f.high > literals.MOST_KEY for f in new):
         raise wrong
-    keys = store.read(table, new, pending=False).select(key.alias("k"))
+    if not new:
+        return table
+    twice = seen.get["twice"]
     near = tuple(f for f in table.files if any(f.low <= g.high and g.low <= f.high for g in new))
-    twice = keys.groupBy("k").count().where("count > 1").limit(1).collect()
-    if not twice and near:
-        twice = store.read(table, near, pending=False).select(key.alias("k")).join(keys, "k", "left_semi").limit(1).collect()
-    if twice:
-        raise ExecutionError(f"duplicate key: primary key {twice[0][0]} already exists in table {quoted(table.name)}")
+    if twice is None and near:
+        keys = store.read(table, new, pending=False).select(key.alias("k"))
+        found = store.read(table, near, pending=False).select(key.alias("k")).join(keys, "k", "left_semi").first()
+        twice = found and found.k
+    if twice is not None:
+        raise ExecutionError(f"duplicate key: primary key {twice} already exists in table {quoted(table.name)}")
     return replace(table, files=table.files + new)
 
 
-def _tier(f: DataFile) -> int:
-    return max(0, int(math.log(max(1, f.bytes / _LEAST_TIER), 4)))
+def _small(table: Table) -> list[DataFile]:
+    return [f for f in table.files if f.bytes < TARGET // 2 and _weight(table, f.rows, f.bytes) < TARGET // 2]
+
+
+def _tier(weight: int) -> int:
+    return max(0, int(math.log(max(1, weight / _LEAST_TIER), 4)))
 
 
 def _merged(table: Table, store: Store, files: list[DataFile]) -> Table:
@@ -191,13 +213,14 @@ def _merged(table: Table, store: Store, files: list[DataFile]) -> Table:
 
 def merged(table: Table, store: Store) -> Table:
     """The table after the merge that is due, if any: of the smallest tier with ``FAN`` files, and what is smaller."""
-    small = [f for f in table.files if f.bytes < TARGET // 2]
-    due = [t for t in range(_tier(DataFile("", 0, TARGET, 0, 0)) + 1) if sum(_tier(f) == t for f in small) >= FAN]
-    return _merged(table, store, [f for f in small if _tier(f) <= due[0]]) if due else table
+    tiers = {f: _tier(_weight(table, f.rows, f.bytes)) for f in _small(table)}
+    counts = Counter(tiers.values())
+    due = min((t for t, n in counts.items() if n >= FAN), default=None)
+    return table if due is None else _merged(table, store, [f for f, t in tiers.items() if t <= due])
 
 
 def compacted(table: Table, store: Store) -> Table:
     """All small files as few of disjoint key ranges; full ones stay."""
     table = flushed(table, store)
-    small = [f for f in table.files if f.bytes < TARGET // 2]
+    small = _small(table)
     return _merged(table, store, small) if len(small) > 1 else table

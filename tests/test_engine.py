@@ -494,6 +494,39 @@ def test_bulk_load_and_compaction(spark, db):
     assert len(rows(db, "SELECT id FROM left")) == 503
 
 
+def test_a_load_is_dealt_by_its_rows_to_tasks_that_sort_once(spark, db, monkeypatch):
+    monkeypatch.setattr(statements, "MOST_ROWS", 1_000, raising=False)
+    plans, write = [], db.store.write
+    monkeypatch.setattr(db.store, "write", lambda df, table: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, table))
+    db.create_from("even", spark.range(10_000).selectExpr("9999 - id AS id", "'same' AS s"), "id")
+    files = sorted(db.manifest.tables["even"].files, key=lambda f: f.low)
+    assert sum(f.rows for f in files) == 10_000 and max(f.rows for f in files) < 1_500
+    assert all(a.high < b.low for a, b in zip(files, files[1:])) and (files[0].low, files[-1].high) == (0, 9_999)
+    assert [p.count("Sort [") for p in plans] == [p.count("Exchange") for p in plans] == [p.count("Window") for p in plans] == [1]
+    assert db.sql("SELECT * FROM even WHERE s = 'same'").count() == 10_000
+
+
+def test_a_large_load_refuses_a_key_that_comes_twice(spark, db, monkeypatch):
+    monkeypatch.setattr(statements, "MOST_ROWS", 1_000, raising=False)
+    db.create_from("even", spark.range(3_000).selectExpr("id * 2 AS id", "CAST(NULL AS STRING) AS nn"), "id")
+    fresh = spark.range(3_000).selectExpr("id + 6000 AS id", "'x' AS nn")
+    for bad, message in ((fresh.union(fresh.where("id IN (7777, 8888)")), "primary key 7777 "), (spark.range(5_998, 9_000).selectExpr("id", "'x' AS nn"), "primary key 5998 ")):
+        with pytest.raises(ExecutionError, match=message):
+            db.load("even", bad)
+    with pytest.raises(ExecutionError, match="must be integers"):
+        db.load("even", fresh.union(spark.sql("SELECT CAST(NULL AS BIGINT), 'x' FROM range(2)")))
+    db.load("even", fresh.where("id < 0"))
+    db.load("even", fresh)
+    assert db.sql("SELECT * FROM even").count() == 6_000
+
+
+def test_long_texts_count_for_the_size_of_a_load(spark, db, monkeypatch):
+    monkeypatch.setattr(statements, "TARGET", 100_000)
+    db.create_from("long", spark.range(200).selectExpr("id", "repeat('ab', 10000) AS s"), "id")
+    files = db.manifest.tables["long"].files
+    assert sum(f.rows for f in files) == 200 and max(f.rows for f in files) <= 40
+
+
 def test_external_tables_are_read_only_and_share_no_name(db):
     path = "/root/testdata/sf0.001/region.parquet"
     db.register("region", path, "r_regionkey")
