@@ -4,7 +4,7 @@ The key ranges in the manifest leave out files that no row of a statement can li
 only the files that hold a matching row: a first pass
 with the pushed-down predicate names them, the rest are carried over by name. Small files are merged by size: ``FAN`` of about
 one size become one, so a row is rewritten once for every ``FAN``-fold growth, and a file of half ``TARGET`` bytes or half ``MOST_ROWS`` rows or more is left alone.
-Loads sort a full file's rows a task, so a task's memory does not grow with the table.
+Loads and merges sort a full file's rows a task, so a task's memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -206,7 +206,8 @@ def _tier(weight: int) -> int:
 
 
 def _merged(table: Table, store: Store, files: list[DataFile]) -> Table:
-    rows = _ordered(store.read(table, tuple(files), pending=False), column(table.key), sum(f.bytes for f in files))
+    weight = _weight(table, sum(f.rows for f in files), sum(f.bytes for f in files))
+    rows = _ordered(store.read(table, tuple(files), pending=False), column(table.key), weight)
     kept = tuple(f for f in table.files if f not in set(files))
     return replace(table, files=kept + store.write(rows, table))
 

@@ -527,6 +527,24 @@ def test_long_texts_count_for_the_size_of_a_load(spark, db, monkeypatch):
     assert sum(f.rows for f in files) == 200 and max(f.rows for f in files) <= 40
 
 
+def test_merges_are_dealt_by_their_rows(spark, db, monkeypatch):
+    monkeypatch.setattr(statements, "FAN", 10_000)
+    db.create_from("t", spark.range(600).selectExpr("id", "0L AS v"), "id")
+    for k in range(1, 20):
+        db.load("t", spark.range(600 * k, 600 * (k + 1)).selectExpr("id", "0L AS v"))
+    assert len(db.manifest.tables["t"].files) == 20
+    monkeypatch.setattr(statements, "MOST_ROWS", 2_000, raising=False)
+    monkeypatch.setattr(statements, "FAN", 16)
+    db.sql("INSERT INTO t VALUES (70000, 1)")
+    files = db.manifest.tables["t"].files
+    assert 6 <= len(files) <= 8 and max(f.rows for f in files) < 3_000 and sum(f.rows for f in files) == 12_001
+    db.sql("DELETE FROM t WHERE id = 70000")
+    full = {f for f in db.manifest.tables["t"].files if f.rows >= 1_000}
+    db.compact("t")
+    assert full <= set(db.manifest.tables["t"].files) and len(full) >= 5
+    assert rows(db, "SELECT id FROM t WHERE id >= 11998") == [(11_998,), (11_999,)] and db.sql("SELECT * FROM t").count() == 12_000
+
+
 def test_external_tables_are_read_only_and_share_no_name(db):
     path = "/root/testdata/sf0.001/region.parquet"
     db.register("region", path, "r_regionkey")
